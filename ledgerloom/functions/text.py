@@ -10,3 +10,24 @@ def csv_cell(value: Column) -> Column:
     """A CSV cell: a leading formula character gets a quote mark before it; quoted if it needs to be."""
     safe = F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
     return F.when(safe.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+
+def like_escape(literal: str, mark: str = "!") -> str:
+    """A literal for LIKE ... ESCAPE: its wildcards and the mark itself are marked."""
+    return "".join(mark + c if c in f"{mark}%_" else c for c in literal)
+
+
+def glob_regex(pattern: str) -> str:
+    """A path glob as an anchored regex: ``**/`` any directories, ``**`` anything, ``*`` and ``?`` within a name."""
+    out, at = [], 0
+    rules = (("**/", "(?:.*/)?"), ("**", ".*"), ("*", "[^/]*"), ("?", "[^/]"))
+    while at < len(pattern):
+        for token, regex in rules:
+            if pattern.startswith(token, at):
+                out.append(regex)
+                at += len(token)
+                break
+        else:
+            out.append("\\" + pattern[at] if not pattern[at].isalnum() else pattern[at])
+            at += 1
+    return "^" + "".join(out) + "$"
