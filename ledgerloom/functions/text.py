@@ -31,3 +31,105 @@ def glob_regex(pattern: str) -> str:
             out.append("\\" + pattern[at] if not pattern[at].isalnum() else pattern[at])
             at += 1
     return "^" + "".join(out) + "$"
+
+
+#: Hidden characters by label.
+HIDDEN = (("ZERO-WIDTH", "\\u200b-\\u200d\\u2060\\ufeff"), ("BIDI", "\\u202a-\\u202e\\u2066-\\u2069"), ("VARIATION", "\\ufe00-\\ufe0f"))
+#: Phrases that make a requirement vague, unverifiable or open.
+VAGUE = ("as appropriate", "if possible", "and so on", "user friendly", "easy to use", "fast", "etc", "the", "tbd", "to be determined")
+STOPWORDS = ("and", "are", "for", "from", "has", "that", "the", "this", "was", "with")
+INJECTION = r"(?i)ignore (all|any|previous) instructions|disregard (all|the) (above|previous)"
+EMAIL, PHONE, SSN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", r"\b\d{3}-\d{2}-\d{4}\b"
+CARD = r"\b\d(?:[ -]?\d){12,18}\b"
+
+
+def tokenize(text: Column) -> Column:
+    """Lower-case ASCII letters and digits."""
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+
+
+def content_tokens(text: Column) -> Column:
+    """Words of three letters or more that are not stop words, in order."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: F.length(w) >= 3)
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS))
+
+
+def stem(word: Column) -> Column:
+    return F.when((F.length(word) > 3) & word.endswith("s"), F.substring(word, 1, F.length(word) - 1)).otherwise(word)
+
+
+def snake_case(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def identifier(name: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(name, r'["`\[\]]', "")))
+
+
+def composite_key(*parts: Column) -> Column:
+    """SHA-256 of the parts with NUL between them, so that no two splits of a string agree."""
+    return F.sha2(F.concat_ws("\0", *parts), 256)
+
+
+def luhn_ok(digits: Column) -> Column:
+    """Luhn's check over a string of 13 to 19 digits."""
+    each = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
+    return digits.rlike(r"^\d{13,19}$") & (F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+
+def redact(text: Column) -> Column:
+    """Emails, then phone numbers, then social security numbers; the order decides what overlaps become."""
+    out = F.regexp_replace(text, EMAIL, "[EMAIL]")
+    out = F.regexp_replace(out, PHONE, "[PHONE]")
+    return F.regexp_replace(out, SSN, "[SSN]")
+
+
+def redact_keys(props: Column, *sensitive: str) -> Column:
+    """A flat JSON object with the values of sensitive keys replaced; null where malformed."""
+    return F.to_json(F.transform_values(F.from_json(props, "map<string,string>"), lambda k, v: F.when(F.lower(k).isin(*sensitive), F.lit("[REDACTED]")).otherwise(v)))
+
+
+def annotate_hidden(text: Column) -> Column:
+    for label, chars in HIDDEN:
+        text = F.regexp_replace(text, f"[{chars}]", f"[{label}]")
+    return text
+
+
+def html_to_markdown(html: Column) -> Column:
+    """Headings, emphasis, links, list items and breaks; other tags go, entities last and ``&amp;`` after all others."""
+    rules = [(r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", "")]
+    rules += [(rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)]
+    rules += [(r"(?i)</?(b|strong)(\s[^>]*)?>", "**"), (r"(?i)</?(i|em)(\s[^>]*)?>", "_"), (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"[$2]($1)"), (r"(?i)<li[^>]*>", "\n- "), (r"(?i)<br[^>]*>|</(p|div|h[1-6]|ul|ol|tr)>", "\n"), (r"<[^>]*>", "")]
+    rules += [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\n{3,}", "\n\n")]
+    for pattern, to in rules:
+        html = F.regexp_replace(html, pattern, to)
+    return F.trim(html)
+
+
+def clean_pdf(text: Column) -> Column:
+    """Line ends unified, lines all in capitals made headings, and runs of blank lines collapsed."""
+    out = F.regexp_replace(text, r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"(?m)^([A-Z][A-Z .!,]{3,})$", "## $1")
+    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+
+
+def sentences(text: Column) -> Column:
+    """Statements of eight characters or more: lines without bullets or heading marks, cut after full stops."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s*([-*#>]+|\d+[.)])\s*", ""))
+    return F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"([.!?]) +", "$1\u0001"), "\u0001"))), lambda s: F.trim(s)), lambda s: F.length(s) >= 8)
+
+
+def chunks(text: Column, size: int, overlap: int) -> Column:
+    """(position, text) windows of ``size`` characters that share ``overlap``; one empty window for an empty text."""
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / (size - overlap)).cast("int") - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("position"), F.substring(text, i * (size - overlap) + 1, F.lit(size)).alias("text")))
+
+
+def truncate(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.format_string(f"[{most} of %d]", F.length(text)))).otherwise(text)
+
+
+def jaccard(a: Column, b: Column, empty: float) -> Column:
+    """Of two sets as arrays; ``empty`` is the value for two empty ones, which callers define differently."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))

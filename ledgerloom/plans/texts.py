@@ -1 +1,230 @@
-"""Queries."""
+"""Text queries over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as X
+from ledgerloom.functions import udfs
+from ledgerloom.plans.registry import query, table
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+
+
+@query("SELECT doc_id, len(w)::INTEGER AS n, len(list_distinct(w))::INTEGER AS n_distinct FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)")
+def tokenize(spark, sf_dir):
+    words = _docs(spark, sf_dir).select("doc_id", X.tokenize(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 AND x NOT IN ('and','are','for','from','has','that','the','this','was','with')))::INTEGER AS n FROM documents")
+def content_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(X.content_tokens(F.col("text"))).alias("n"))
+
+
+@query("SELECT t AS word, count(*) AS n FROM (SELECT unnest(list_transform(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END)) AS t FROM documents) GROUP BY 1 HAVING count(*) > 20")
+def stem_counts(spark, sf_dir):
+    words = _docs(spark, sf_dir).select(F.explode(X.tokenize(F.col("text"))).alias("w")).select(X.stem(F.col("w")).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 20")
+
+
+@query(r"SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, lower(trim(regexp_replace('[' || n || ']', '[`\[\]]', '', 'g'))) AS ident, split_part('db.' || n, '.', -1) AS bare, sha256(p_brand || chr(0) || n) AS key FROM (SELECT p_partkey, p_brand, replace(p_brand, '#', 'HTTPServer') AS n FROM part)")
+def name_normalisation(spark, sf_dir):
+    n = F.replace("p_brand", F.lit("#"), F.lit("HTTPServer"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.snake_case(n).alias("snake"), X.identifier(F.concat(F.lit("["), n, F.lit("]"))).alias("ident"), F.substring_index(F.concat(F.lit("db."), n), ".", -1).alias("bare"), X.composite_key(F.col("p_brand"), n).alias("key")
+    )
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '{X.EMAIL}', '[EMAIL]', 'g'), '{X.PHONE}', '[PHONE]', 'g'), '{X.SSN}', '[SSN]', 'g')) AS digest FROM documents")
+def pii_redaction(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, n, (list_sum(list_transform(range(length(n)), lambda i: CASE WHEN i % 2 = 0 THEN d(n, i) WHEN d(n, i) > 4 THEN 2 * d(n, i) - 9 ELSE 2 * d(n, i) END)) % 10) = 0 AS ok FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{16}\b')) AS n FROM documents)""".replace("d(n, i)", "n[length(n) - i]::INT"))
+def luhn_check(spark, sf_dir):
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{16}\b"), F.lit(0))).alias("n"))
+    return found.select("doc_id", "n", X.luhn_ok(F.col("n")).alias("ok"))
+
+
+@query(rf"SELECT conv_id, turn, regexp_matches(text, '{X.INJECTION}') AS blocked, len(regexp_extract_all(text, '{X.PHONE}'))::INTEGER AS phones, CASE WHEN turn % 2 = 0 THEN sha256(text) ELSE sha256(regexp_replace(text, '{X.PHONE}', '[PHONE]', 'g')) END AS digest FROM conversations")
+def safety_scan(spark, sf_dir):
+    """Blocks injections; phone numbers are counted always and masked in the strict mode (odd turns) only."""
+    masked = F.regexp_replace("text", X.PHONE, "[PHONE]")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike(X.INJECTION).alias("blocked"), F.regexp_count("text", F.lit(X.PHONE)).alias("phones"), F.sha2(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(masked), 256).alias("digest"))
+
+
+@query("""SELECT event_id, '{"k":"' || CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE (props->>'$.k') END || '"}' AS props FROM events""")
+def key_redaction(spark, sf_dir):
+    hidden, shown = X.redact_keys(F.col("props"), "k"), X.redact_keys(F.col("props"), "password")
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, hidden).otherwise(shown).alias("props"))
+
+
+@query(r"SELECT c_custkey, regexp_replace('Authorization: Bearer ' || c_name, '(Bearer|Basic) +[^ ]+', '\1 ***') AS header, regexp_replace('jdbc://u:' || c_name || '@h/db', '(://[^:/@]+:)[^@]+@', '\1***@') AS url FROM customer")
+def credential_redaction(spark, sf_dir):
+    header = F.regexp_replace(F.concat(F.lit("Authorization: Bearer "), "c_name"), "(Bearer|Basic) +[^ ]+", "$1 ***")
+    url = F.regexp_replace(F.concat(F.lit("jdbc://u:"), "c_name", F.lit("@h/db")), "(://[^:/@]+:)[^@]+@", "$1***@")
+    return table(spark, sf_dir, "customer").select("c_custkey", header.alias("header"), url.alias("url"))
+
+
+@query("SELECT doc_id, (length(t) - length(replace(replace(t, chr(8203), ''), chr(8206), '')))::INTEGER AS hidden, sha256(replace(t, chr(8203), '[ZERO-WIDTH]')) AS digest FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' a', chr(8203) || 'a') ELSE text END AS t FROM documents)")
+def hidden_characters(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" a"), F.lit("​a"))).otherwise(F.col("text"))
+    every = "".join(chars for _, chars in X.HIDDEN)
+    return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.regexp_count("t", F.lit(f"[{every}]")).alias("hidden"), F.sha2(X.annotate_hidden(F.col("t")), 256).alias("digest"))
+
+
+@query("SELECT doc_id, phrase FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '(?:^|[^a-z])(to be determined|as appropriate|user friendly|easy to use|if possible|and so on|fast|etc|tbd|the)(?:$|[^a-z])', 1))) AS phrase FROM documents)")
+def requirement_flags(spark, sf_dir):
+    """Phrases that make a requirement vague, longest first, each once per document."""
+    longest = "|".join(sorted(X.VAGUE, key=lambda p: (-len(p), p)))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"(?:^|[^a-z])({longest})(?:$|[^a-z])"), F.lit(1))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(found)).alias("phrase"))
+
+
+@query(rf"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{X.EMAIL}')))::INTEGER AS emails, len(list_distinct(regexp_extract_all(text, '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b')))::INTEGER AS addresses, len(list_distinct(regexp_extract_all(text, '\b\d+\b')))::INTEGER AS numbers FROM documents")
+def entity_extraction(spark, sf_dir):
+    distinct = lambda p: F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
+    return _docs(spark, sf_dir).select("doc_id", distinct(X.EMAIL).alias("emails"), distinct(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b").alias("addresses"), distinct(r"\b\d+\b").alias("numbers"))
+
+
+@query(r"SELECT o_orderkey, list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?:closes|fixes|refs) #(\d+)', 1), lambda x: x::BIGINT)))::VARCHAR AS issues FROM (SELECT o_orderkey, 'closes #' || o_custkey || ' and fixes #' || (o_orderkey % 100) || ' refs #' || o_custkey AS t FROM orders)")
+def linked_issues(spark, sf_dir):
+    t = F.concat(F.lit("closes #"), F.col("o_custkey").cast("string"), F.lit(" and fixes #"), (F.col("o_orderkey") % 100).cast("string"), F.lit(" refs #"), F.col("o_custkey").cast("string"))
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?:closes|fixes|refs) #(\d+)"), F.lit(1)).cast("array<bigint>")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("issues"))
+
+
+@query(r"SELECT l_orderkey, l_linenumber, regexp_matches(t, '^[A-Za-z0-9_./-]+\.[a-z]+:\d+(-\d+)?$') AS cites FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'src/a.ts:' || l_partkey || '-' || l_suppkey ELSE 'src/a.ts ' || l_partkey END AS t FROM lineitem)")
+def citation_test(spark, sf_dir):
+    key = F.col("l_partkey").cast("string")
+    t = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("src/a.ts:"), key, F.lit("-"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("src/a.ts "), key))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.rlike(r"^[A-Za-z0-9_./-]+\.[a-z]+:\d+(-\d+)?$").alias("cites"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(x, '^\\s*([-*#>]+|\\d+[.)])\\s*', ''), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)))) AS s FROM l)
+ SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM s WHERE length(s) >= 8 GROUP BY 1""")
+def statement_split(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
+@query(r"WITH d AS (SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark) SELECT doc_id, item_id, instr(t, q)::INTEGER AS at FROM d JOIN b ON contains(t, q) WHERE len(string_split(q, ' ')) >= 8")
+def clause_locate(spark, sf_dir):
+    """Quotes found modulo white space. Candidates share a run of eight words, so no document meets every quote."""
+    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
+    docs = _docs(spark, sf_dir).select("doc_id", flat("text").alias("t"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.trim(flat("text")).alias("q")).withColumn("w", F.split("q", " ")).where(F.size("w") >= 8)
+    keyed = quotes.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, 6), " ")).alias("k"))
+    grams = docs.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode_outer(F.transform("w", lambda w, i: F.xxhash64(F.array_join(F.slice("w", i + 1, F.lit(6)), " ")))).alias("k"))
+    met = grams.join(keyed.select("k", "item_id"), "k").select("doc_id", "item_id").distinct()
+    return met.join(docs, "doc_id").join(quotes.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("doc_id", "item_id", F.call_function("instr", F.col("t"), F.col("q")).alias("at"))
+
+
+@query("SELECT doc_id, strlen(text)::INTEGER AS bytes, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
+def byte_length(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.octet_length("text").alias("bytes"), F.ceil(F.length("text") / 4).alias("tokens"))
+
+
+@query("WITH c AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((length(text) - 256) / 1792.0)::INTEGER - 1) + 1))::INTEGER AS position, text FROM documents) SELECT doc_id, position, md5(substr(text, position * 1792 + 1, 2048)) AS digest FROM c")
+def chunk_overlap(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(X.chunks(F.col("text"), 2048, 256)).alias("c"))
+    return rows.select("doc_id", "c.position", F.md5("c.text").alias("digest"))
+
+
+@query()
+def byte_budget_split(spark, sf_dir):
+    """Greedy lines of at most 1000 bytes; a longer line is cut between code points. Joined, the parts give the text."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(udfs.split_bytes(1000)("text")).alias("position", "part"))
+    return rows.select("doc_id", "position", F.octet_length("part").alias("bytes"), F.md5("part").alias("digest"))
+
+
+@query()
+def nfkc_keys(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(udfs.nfkc_key("text")).alias("digest"))
+
+
+@query()
+def fnv_hash(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", udfs.fnv1a("p_name").alias("hash"))
+
+
+@query()
+def rouge_l(spark, sf_dir):
+    """ROUGE-L F1 of each user turn and the answer to it."""
+    rows = table(spark, sf_dir, "conversations")
+    answer = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return rows.where("role = 'user'").join(answer, ["conv_id", "turn"]).select("conv_id", "turn", F.round(udfs.rouge_l("text", "answer"), 6).alias("f1"))
+
+
+@query("""SELECT page_id, sha256(trim(t)) AS digest FROM (SELECT page_id, """ + "regexp_replace(" * 6 + r"""html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' ', 'g'), '&amp;', '&', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages)""")
+def html_text(spark, sf_dir):
+    html = F.col("html")
+    for pattern, to in ((r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"<[^>]*>", ""), ("&nbsp;", " "), ("&amp;", "&"), (r"\n{3,}", "\n\n")):
+        html = F.regexp_replace(html, pattern, to)
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.trim(html), 256).alias("digest"))
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query()
+def html_tables(spark, sf_dir):
+    """Tables of a page as Markdown, ragged rows padded."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode_outer(udfs.html_tables("html")).alias("markdown"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?m)^([A-Z][A-Z .!,]{3,})$', '## \1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
+def pdf_cleanup(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(X.clean_pdf(F.col("text")), 256).alias("digest"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN text[:200] || '[200 of ' || length(text) || ']' ELSE text END AS shown FROM conversations")
+def value_truncation(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.truncate(F.col("text"), 200).alias("shown"))
+
+
+@query("""WITH g AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role AND role = 'user' THEN 0 ELSE 1 END AS n FROM conversations WHERE NOT (role = 'assistant' AND conv_id % 2 = 0)))
+ SELECT conv_id, island::BIGINT AS island, min(turn) AS first, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM g GROUP BY 1, 2""")
+def merge_user_turns(spark, sf_dir):
+    """Gaps and islands: consecutive user rows become one."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").where("NOT (role = 'assistant' AND conv_id % 2 = 0)")
+    new = F.when((F.lag("role").over(order) == F.col("role")) & (F.col("role") == "user"), 0).otherwise(1)
+    islands = rows.withColumn("n", new).withColumn("island", F.sum("n").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n\n")
+    return islands.groupBy("conv_id", "island").agg(F.min("turn").alias("first"), F.md5(text).alias("digest"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn) AS place FROM conversations")
+def summary_first(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy(F.col("role") != "system", "turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("""WITH s AS (SELECT conv_id, length(text) AS chars, greatest(1, ceil(length(text) / 4.0)) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+ SELECT conv_id, CASE WHEN sum(chars) / sum(tokens) BETWEEN 1 AND 8 THEN round(sum(chars) / sum(tokens), 6) END AS ratio, sum(ceil(chars / 3.0) + 4)::BIGINT AS estimate FROM s WHERE k <= 5 GROUP BY 1""")
+def calibrated_tokens(spark, sf_dir):
+    """Characters per token over the last five samples, null outside 1 to 8, and the estimate at three per token."""
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    s = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("chars"), F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).alias("tokens"), k.alias("k")).where("k <= 5")
+    ratio = F.sum("chars") / F.sum("tokens")
+    return s.groupBy("conv_id").agg(F.when(ratio.between(1, 8), F.round(ratio, 6)).alias("ratio"), F.sum(F.ceil(F.col("chars") / 3) + 4).alias("estimate"))
+
+
+@query("SELECT doc_id, 'x' || doc_id || ',' || CASE WHEN regexp_matches(s, '[\",\\r\\n]') THEN '\"' || replace(s, '\"', '\"\"') || '\"' ELSE s END AS line FROM (SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+\\-@\\t\\r]') THEN '''' || t ELSE t END AS s FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '=' || text ELSE text END AS t FROM documents))")
+def csv_sink_lines(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(","), X.csv_cell(t)).alias("line"))
+
+
+@query("SELECT max(tokens)::BIGINT AS most, median(tokens)::DOUBLE AS middle, round(avg(CASE WHEN tokens > 512 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS truncated, round(avg(least(1.0, 512.0 / tokens)), 6)::DOUBLE AS surviving FROM (SELECT greatest(1, ceil(length(text) / 4.0))::DOUBLE AS tokens FROM documents)")
+def rerank_budget_profile(spark, sf_dir):
+    """Exact median by counting equal sizes first, as percentile does."""
+    t = _docs(spark, sf_dir).select(F.greatest(F.lit(1), F.ceil(F.length("text") / 4)).alias("tokens"))
+    return t.agg(F.max("tokens").alias("most"), F.median("tokens").alias("middle"), F.round(F.avg(F.when(F.col("tokens") > 512, 1.0).otherwise(0.0)), 6).alias("truncated"), F.round(F.avg(F.least(F.lit(1.0), 512.0 / F.col("tokens"))), 6).alias("surviving"))
