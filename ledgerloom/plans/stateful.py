@@ -1 +1,107 @@
-"""Queries."""
+"""Windowed counters, limits, sessions and cooldowns: the batch forms of what ``ledgerloom.streaming`` runs."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ledgerloom.plans.registry import query, table
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS hits, count(*) <= 3 AS allowed FROM events GROUP BY 1, 2")
+def fixed_window_counter(spark, sf_dir):
+    hits = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 hour").start.alias("start")).agg(F.count("*").alias("hits"))
+    return hits.withColumn("allowed", F.col("hits") <= 3)
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hits FROM events")
+def sliding_window_log(spark, sf_dir):
+    trailing = Window.partitionBy("user_id").orderBy(F.col("at")).rangeBetween(-3600, 0)
+    return _events(spark, sf_dir).select("event_id", F.count("*").over(trailing).alias("hits"))
+
+
+@query("SELECT event_id, greatest(0, 60 - epoch(ts)::BIGINT % 60)::BIGINT AS retry_after, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)::BIGINT / 60) ORDER BY ts, event_id) > 1 AS denied FROM events")
+def inbound_limiter(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("user_id", F.floor(F.col("at") / 60)).orderBy("ts", "event_id"))
+    return _events(spark, sf_dir).select("event_id", (60 - F.col("at") % 60).alias("retry_after"), (n > 1).alias("denied"))
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def delivery_dedup(spark, sf_dir):
+    """First delivery of each key per day: the batch form of dropping duplicates within a day's watermark."""
+    k = F.row_number().over(Window.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").withColumn("k", k).where("k = 1").select("event_id")
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def burst_sessions(spark, sf_dir):
+    """One reconcile per burst: sessions that end after six quiet hours."""
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE value > 80) WHERE before IS NULL OR ts - before >= INTERVAL 12 HOUR")
+def quiet_period_alerts(spark, sf_dir):
+    """Alerts that no other candidate of the user came shortly before."""
+    hot = table(spark, sf_dir, "events").where("value > 80")
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return hot.withColumn("before", before).where("before IS NULL OR ts - before >= INTERVAL '12' HOUR").select("user_id", "event_id")
+
+
+@query()
+def cooldown_alerts(spark, sf_dir):
+    """Alerts at least twelve hours after the user's last fired one. A fold over each user's own candidates."""
+
+    def fire(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "event_id"])
+        last, kept = -1e18, []
+        for at in rows["at"]:
+            kept.append(at - last >= 12 * 3600)
+            last = at if kept[-1] else last
+        return rows.loc[kept, ["user_id", "event_id"]]
+
+    hot = _events(spark, sf_dir).where("value > 80").select("user_id", "event_id", "at")
+    return hot.groupBy("user_id").applyInPandas(fire, "user_id long, event_id long")
+
+
+@query()
+def semantic_cache_replay(spark, sf_dir):
+    """Each label's vectors in id order against those it stored before: hit at cosine 0.92 or more, else stored."""
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id")
+        stored, hits = np.empty((0, 64)), []
+        for v in rows["embedding"]:
+            v = np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
+            hits.append(bool(len(stored)) and float((stored @ v).max()) >= 0.92)
+            if not hits[-1]:
+                stored = np.vstack([stored, v])
+        return pd.DataFrame({"vec_id": rows["vec_id"], "hit": hits})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").groupBy("label").applyInPandas(replay, "vec_id long, hit boolean")
+
+
+@query()
+def hashed_sample(spark, sf_dir):
+    """The one percent of events whose hash says so; the same rows on every run."""
+    return table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(100)) < 1).select("event_id", "event_type")
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m') AS month, sum(round(value * 100)::BIGINT)::BIGINT AS reserved, (sum(round(value * 100)::BIGINT) FILTER (WHERE event_type <> 'error'))::BIGINT AS settled FROM events GROUP BY 1, 2")
+def budget_reservations(spark, sf_dir):
+    """Monthly reservations; those of failed calls are refunded."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    return table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum(cents).alias("reserved"), F.sum(F.when(F.col("event_type") != "error", cents)).alias("settled"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'superseded' WHEN o_orderkey % 7 = 0 THEN 'source-moved' ELSE 'accepted' END AS outcome FROM orders")
+def version_resolution(spark, sf_dir):
+    """A pending version is accepted only if the version the caller expects is current."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 == 0).alias("moved"), (F.col("o_orderkey") * 2 + (F.col("o_orderkey") % 3 == 0).cast("int")).alias("version"))
+    return orders.select("o_orderkey", F.when(F.col("version") != F.col("o_orderkey") * 2, "superseded").when(F.col("moved"), "source-moved").otherwise("accepted").alias("outcome"))
