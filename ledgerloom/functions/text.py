@@ -103,7 +103,7 @@ def html_to_markdown(html: Column) -> Column:
     rules += [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\n{3,}", "\n\n")]
     for pattern, to in rules:
         html = F.regexp_replace(html, pattern, to)
-    return F.trim(html)
+    return F.regexp_replace(html, r"^\s+|\s+$", "")
 
 
 def clean_pdf(text: Column) -> Column:

@@ -60,14 +60,14 @@ def file_outline(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(text.alias("outline"))
 
 
-@query("WITH s AS (SELECT l_orderkey AS file, l_linenumber AS lo, l_linenumber + l_partkey % 4 AS hi, l_partkey AS symbol FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS at FROM lineitem) SELECT file, at, symbol FROM (SELECT c.file, at, symbol, row_number() OVER (PARTITION BY c.file, at ORDER BY hi - lo, symbol) AS k FROM c JOIN s ON c.file = s.file AND at BETWEEN lo AND hi) WHERE k = 1")
+@query("WITH s AS (SELECT l_orderkey AS file, l_linenumber AS lo, l_linenumber + l_partkey % 4 AS hi, l_partkey AS symbol FROM lineitem), c AS (SELECT DISTINCT l_orderkey AS file, l_linenumber AS line FROM lineitem) SELECT file, line, symbol FROM (SELECT c.file, line, symbol, row_number() OVER (PARTITION BY c.file, line ORDER BY hi - lo, symbol) AS k FROM c JOIN s ON c.file = s.file AND line BETWEEN lo AND hi) WHERE k = 1")
 def symbol_containment(spark, sf_dir):
     """The smallest range of the same file that holds each call site; ranges join by file, so they stay local to it."""
     lines = table(spark, sf_dir, "lineitem")
     s = lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_partkey") % 4).alias("hi"), F.col("l_partkey").alias("symbol"))
-    sites = lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("at")).distinct()
-    inside = sites.join(s, "file").where(F.col("at").between(F.col("lo"), F.col("hi")))
-    return first_by(inside, ["file", "at"], F.col("hi") - F.col("lo"), F.col("symbol")).select("file", "at", "symbol")
+    sites = lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct()
+    inside = sites.join(s, "file").where(F.col("line").between(F.col("lo"), F.col("hi")))
+    return first_by(inside, ["file", "line"], F.col("hi") - F.col("lo"), F.col("symbol")).select("file", "line", "symbol")
 
 
 @query("SELECT event_id, CASE WHEN (props->>'$.k')::BIGINT > 90 THEN 'dynamic' WHEN event_type = 'view' THEN 'coarse' ELSE 'exact' END AS resolution FROM events")

@@ -20,13 +20,13 @@ def fixed_window_counter(spark, sf_dir):
     return hits.withColumn("allowed", F.col("hits") <= 3)
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hits FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hits FROM events")
 def sliding_window_log(spark, sf_dir):
     trailing = Window.partitionBy("user_id").orderBy(F.col("at")).rangeBetween(-3600, 0)
     return _events(spark, sf_dir).select("event_id", F.count("*").over(trailing).alias("hits"))
 
 
-@query("SELECT event_id, greatest(0, 60 - epoch(ts)::BIGINT % 60)::BIGINT AS retry_after, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)::BIGINT / 60) ORDER BY ts, event_id) > 1 AS denied FROM events")
+@query("SELECT event_id, greatest(0, 60 - floor(epoch(ts))::BIGINT % 60)::BIGINT AS retry_after, row_number() OVER (PARTITION BY user_id, floor(floor(epoch(ts))::BIGINT / 60) ORDER BY ts, event_id) > 1 AS denied FROM events")
 def inbound_limiter(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("user_id", F.floor(F.col("at") / 60)).orderBy("ts", "event_id"))
     return _events(spark, sf_dir).select("event_id", (60 - F.col("at") % 60).alias("retry_after"), (n > 1).alias("denied"))
