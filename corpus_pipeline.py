@@ -18,11 +18,16 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the rules reject. Cutoffs come from the labelled documents; both passes stay within rows."""
+    """Drop what the rules reject. Cutoffs come from the labelled documents; both passes stay within rows.
+
+    The measures are written before they are judged: a filter on them would be pushed into their arrays and
+    compute each array anew for every element of the next.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labelled = quality.features(docs.select("doc_id", "lang", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text")
     cutoffs = materialize(quality.calibrate(labelled, labels))
-    return quality.judge(quality.features(docs.select(COLUMNS)), cutoffs).where("kept").select(COLUMNS)
+    measured = materialize(quality.features(docs.select(COLUMNS)))
+    return quality.judge(measured, cutoffs).where("kept").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
