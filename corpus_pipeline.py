@@ -18,15 +18,14 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the rules reject. Cutoffs come from the labelled documents; both passes stay within rows.
+    """Drop what the rules reject. Cutoffs come from the labelled documents' measures.
 
-    The measures are written before they are judged: a filter on them would be pushed into their arrays and
-    compute each array anew for every element of the next.
+    The measures are written once, before anything is learned from them or judged by them: a filter on them would
+    be pushed into their arrays and compute each array anew for every element of the next. The join with
+    the labels reads only the measures' columns, so no text is shuffled.
     """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = quality.features(docs.select("doc_id", "lang", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text")
-    cutoffs = materialize(quality.calibrate(labelled, labels))
     measured = materialize(quality.features(docs.select(COLUMNS)))
+    cutoffs = materialize(quality.calibrate(measured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.judge(measured, cutoffs).where("kept").select(COLUMNS)
 
 
