@@ -10,8 +10,9 @@ from __future__ import annotations
 import base64
 import re
 import struct
+import threading
 from collections.abc import Iterator
-from itertools import chain
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ from ledgerloom.llm.common import documents_of
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Every match of the split pattern lies within one match of this, and splits alike on its own.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Segments a worker remembers before it starts anew; bounds its memory.
+#: Segments, and pairs of tokens, a worker remembers before it starts anew; bounds its memory.
 MEMO = 200_000
+#: Seconds after its last task until a worker gives up its encoder, so that other stages have the memory.
+IDLE_S = 3
 #: Rows coded at once.
 ROWS = 256
 MARKS = (4, 7, 10, 13)
@@ -75,6 +78,8 @@ class PrefixBpe:
         """Whether the bytes of a then b encode as just these two."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
+            if len(self.pairs) >= MEMO:
+                self.pairs.clear()
             known = self.pairs[a << 32 | b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
@@ -219,7 +224,10 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker_encoder(ranks, pattern)
+        with _worker_encoder(ranks, pattern) as encoder:
+            yield from coded(batches, encoder)
+
+    def coded(batches: Iterator[pa.RecordBatch], encoder: TextEncoder) -> Iterator[pa.RecordBatch]:
         get = encoder.bpe.bytes_of.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -235,15 +243,26 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
 
 
 _WORKER: dict = {}
+_RELEASE: list[threading.Timer] = []
 
 
-def _worker_encoder(ranks, pattern: str) -> TextEncoder:
-    """One encoder for each Python worker and broadcast, so that its memo outlives a task."""
+@contextmanager
+def _worker_encoder(ranks, pattern: str) -> Iterator[TextEncoder]:
+    """One encoder for each Python worker and broadcast. Its memo outlives a task, but not ``IDLE_S`` without one."""
+    while _RELEASE:
+        _RELEASE.pop().cancel()
     key = (id(ranks.value), pattern)
-    if key not in _WORKER:
+    encoder = _WORKER.get(key)
+    if encoder is None:
         _WORKER.clear()
-        _WORKER[key] = TextEncoder(ranks.value, pattern)
-    return _WORKER[key]
+        encoder = _WORKER[key] = TextEncoder(ranks.value, pattern)
+    try:
+        yield encoder
+    finally:
+        timer = threading.Timer(IDLE_S, _WORKER.clear)
+        timer.daemon = True
+        timer.start()
+        _RELEASE.append(timer)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
