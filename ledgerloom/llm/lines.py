@@ -14,6 +14,8 @@ from ledgerloom.llm.common import documents_of, materialize
 
 #: A repeated run has this many lines at least; grams of GRAM lines are hashed.
 MIN_LINES, GRAM = 3, 2
+#: Rows whose lines are in memory at once.
+ROWS = 512
 SPACE = " \t\n\x0b\x0c\r"
 PRINT_SCHEMA = "fp long, doc_id long, text_hash long, at int, windows array<struct<start:int,key:binary>>"
 
@@ -48,22 +50,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, ids, texts, at, windows = [], [], [], [], []
-            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 1))):
-                own = [x.encode() for x in content_lines(text)[2]]
-                if len(own) < min_lines:
-                    continue
-                grams = np.array([xxh3_64_intdigest(b"\n".join(own[i : i + gram])) for i in range(len(own) - gram + 1)], np.uint64)
-                chosen = winnow(grams, width)
-                cuts = [0, *(np.flatnonzero(np.diff(chosen)) + 1).tolist(), len(chosen)]
-                for a, b in zip(cuts, cuts[1:]):
-                    fp.append(int(grams[chosen[a]].view(np.int64)))
-                    ids.append(doc_id)
-                    texts.append(text_hash)
-                    at.append(int(chosen[a]))
-                    windows.append([{"start": i, "key": xxh3_128_digest(b"\n".join(own[i : i + min_lines]))} for i in range(a, b)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("key", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.int32()), pa.array(windows, kind)], ["fp", "doc_id", "text_hash", "at", "windows"])
+            for k in range(0, batch.num_rows, ROWS):
+                yield selected(batch.slice(k, ROWS))
+
+    def selected(part: pa.RecordBatch) -> pa.RecordBatch:
+        fp, ids, texts, at, starts, keys, offsets = [], [], [], [], [], [], [0]
+        for doc_id, text_hash, text in zip(*(part.column(i).to_pylist() for i in (0, 2, 1))):
+            own = [x.encode() for x in content_lines(text)[2]]
+            if len(own) < min_lines:
+                continue
+            grams = np.array([xxh3_64_intdigest(b"\n".join(own[i : i + gram])) for i in range(len(own) - gram + 1)], np.uint64)
+            chosen = winnow(grams, width)
+            cuts = [0, *(np.flatnonzero(np.diff(chosen)) + 1).tolist(), len(chosen)]
+            for a, b in zip(cuts, cuts[1:]):
+                fp.append(int(grams[chosen[a]].view(np.int64)))
+                ids.append(doc_id)
+                texts.append(text_hash)
+                at.append(int(chosen[a]))
+                starts += range(a, b)
+                keys += [xxh3_128_digest(b"\n".join(own[i : i + min_lines])) for i in range(a, b)]
+                offsets.append(len(starts))
+        runs = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(keys, pa.binary())], ["start", "key"])
+        windows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.int32()), windows], ["fp", "doc_id", "text_hash", "at", "windows"])
 
     rows = documents_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     return rows.mapInArrow(run, PRINT_SCHEMA)
