@@ -242,6 +242,18 @@ def test_decontamination(spark, docs, table):
     assert {r.doc_id for r in decontaminate.remove_leaks(df, edge).collect()} == set(flat) - {d for d, _ in got}
 
 
+def test_decontamination_of_light_edits(spark):
+    """Edits of light shingles at the end of an item move its fingerprint far, but the similarity stays 0.8 or more."""
+    word = lambda i, k, n: hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:n]
+    items = {i: " ".join([word(i, k, 14) for k in range(10)] + [word(i, k, 2) for k in range(10, 15)]) for i in range(300)}
+    flat = {i: " ".join([*t.split()[:-2], "zz", t.split()[-1]]) for i, t in items.items()}
+    want = brute.leaks(flat, items)
+    assert want == {(i, i) for i in range(300)}
+    df = spark.createDataFrame(list(flat.items()), "doc_id long, text string")
+    edge = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, edge).collect()} == want
+
+
 def test_hamming_blocks(spark):
     """Fingerprints within the radius share a block value, up to one bit."""
     r = random.Random(5)
