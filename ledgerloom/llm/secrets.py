@@ -30,6 +30,8 @@ ENCODINGS = (
     ("base64url", "[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "-_"),
     ("base64", "[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
 )
+#: Padding ends a token; any other "=" stands between a name and its value and belongs to neither.
+PADDING = "(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CHUNK = 256
 
 
@@ -135,7 +137,8 @@ def battery(token: Column, battery_: Battery) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Battery = Battery()) -> DataFrame:
     """``doc_id, base, candidates``: spans of the fixed patterns, and tokens with their length stratum and evidence.
 
-    ``base``: array of (start, rank of kind, kind, end), by start, then kind. Null texts are empty, null ids and
+    ``base``: array of (start, rank of kind, kind, end), by start, then kind. Tokens are the runs of base64's alphabet
+    and those of base64url's; where a run mixes both, its parts are candidates. Null texts are empty, null ids and
     repeated rows stay as they are; nothing is shuffled, and no text leaves the scan.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -146,8 +149,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits
     df = _spans(df, "_assign", ASSIGN, named, ("2", 8))
     df = _spans(df, "_access", ACCESS, F.contains("_text", F.lit("AKIA")))
     df = _spans(df, "_hex", HEX, F.lit(True))
-    df = _spans(df, "_token", rf"[A-Za-z0-9+/_=-]{{{limits.min_length},}}", F.lit(True))
-    df = df.drop("_text")
+    df = _spans(df, "_plain", rf"[A-Za-z0-9+/]{{{limits.min_length},}}{PADDING}", F.lit(True))
+    df = _spans(df, "_url", rf"[A-Za-z0-9_-]{{{limits.min_length},}}{PADDING}", F.lit(True))
+    df = df.withColumn("_token", F.array_union("_plain", "_url")).drop("_text", "_plain", "_url")
     as_kind = lambda column, k: F.transform(column, lambda x: F.struct(x.start.alias("start"), F.lit(k).alias("rank"), F.lit(KINDS[k]).alias("kind"), x.end.alias("end")))
     df = df.withColumn("base", F.sort_array(F.concat(*[as_kind(c, k) for k, c in enumerate(("_assign", "_access", "_hex"))])))
     stratum = lambda x: sum((F.when(x.end - x.start >= edge, 1).otherwise(0) for edge in limits.length_edges), F.lit(0))
@@ -171,13 +175,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``scan`` with ``spans``: base ones and, as kind ``random``, the tokens that the battery finds.
 
     The scan is written once (ids and spans, no texts) and read twice; an empty table gives no rows. The
-    thresholds are one row of at most ``edges + 1`` numbers, broadcast.
+    thresholds are one row of at most ``edges + 1`` numbers, broadcast. Of found tokens that lie in another only the
+    outer one is reported.
     """
     scanned = materialize(scan(docs, id_col, text_col, limits))
     least = materialize(discoveries(scanned, limits).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("_least")))
     found = F.filter("candidates", lambda x: F.coalesce(x.steps >= F.element_at("_least", x.stratum), F.lit(False)))
-    random = F.transform(found, lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("rank"), F.lit(KINDS[3]).alias("kind"), x.end.alias("end")))
-    return scanned.crossJoin(F.broadcast(least)).withColumn("spans", F.sort_array(F.concat("base", random))).drop("_least", "candidates")
+    inside = lambda x, y: (y.start <= x.start) & (x.end <= y.end) & (y.end - y.start > x.end - x.start)
+    scanned = scanned.crossJoin(F.broadcast(least)).withColumn("_found", found)
+    outer = F.filter("_found", lambda x: ~F.exists("_found", lambda y: inside(x, y)))
+    random = F.transform(outer, lambda x: F.struct(x.start.alias("start"), F.lit(3).alias("rank"), F.lit(KINDS[3]).alias("kind"), x.end.alias("end")))
+    return scanned.withColumn("spans", F.sort_array(F.concat("base", random))).drop("_least", "_found", "candidates")
 
 
 def span_text(spans: str) -> Column:

@@ -94,6 +94,18 @@ def test_randomness_battery(spark):
     assert len(found - set(range(80))) <= 3
 
 
+def test_random_values_of_names(spark):
+    """Values after a name and "=", and values in runs that mix both base64 alphabets."""
+    r = random.Random(8)
+    draw = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    before = ["AWS_SECRET_ACCESS_KEY=", "private_key=", "sig=", "AccountKey=", "path/of_the/"]
+    texts = [(f"x {b}", draw(18) + "+" + draw(20) + "/" + "A1") if "/" not in b else (f"x {b}", draw(40)) for b in before for _ in range(8)]
+    df = spark.createDataFrame([(i, f"{b}{t} y") for i, (b, t) in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in secrets.find_secrets(df).select("doc_id", "spans").collect()}
+    hit = [any(a < len(b) + len(t) and len(b) < e and e == len(b) + len(t) for a, e in got[i]) for i, (b, t) in enumerate(texts)]
+    assert all(sum(hit[k : k + 8]) >= 7 for k in range(0, 40, 8)), hit
+
+
 def test_secrets_of_odd_rows(odd):
     assert secrets.find_secrets(odd).count() == odd.count()
     assert secrets.find_secrets(odd.limit(0)).count() == 0
