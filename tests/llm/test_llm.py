@@ -106,6 +106,21 @@ def test_random_values_of_names(spark):
     assert all(sum(hit[k : k + 8]) >= 7 for k in range(0, 40, 8)), hit
 
 
+@pytest.mark.parametrize("share", [1, 0.01])
+def test_randomness_battery_by_encoding(spark, share):
+    """Keys of one case and of base32 among no, or 99 times as many, long tokens of ordinary words."""
+    r = random.Random(12)
+    kinds = {"lower": (string.ascii_lowercase, 32), "base32": (string.ascii_uppercase + "234567", 32), "base36": (string.ascii_lowercase + string.digits, 24), "hex": ("0123456789abcdef", 31), "base62": (string.ascii_letters + string.digits, 24)}
+    keys = [(name, "".join(r.choice(a) for _ in range(n))) for name, (a, n) in kinds.items() for _ in range(40)]
+    words = "time people water number because between country thought maison toujours pendant gouvernement entreprise zwischen geschichte werden arbeit gesellschaft tiempo siempre gobierno trabajo ciudad question value index request handler".split()
+    plain = ["".join(r.choice(words).title() if k % 3 else r.choice(words) for _ in range(5)) if k % 2 else "_".join(r.choice(words) for _ in range(4)) for k in range(round(len(keys) * (1 / share - 1)))]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([t for _, t in keys] + plain)], "doc_id long, text string")
+    found = {x.doc_id for x in secrets.find_secrets(df).where(F.size("spans") > 0).select("doc_id").collect()}
+    part = {k: sum(i in found for i, (name, _) in enumerate(keys) if name == k) for k in kinds}
+    assert min(part.values()) >= (30 if share == 1 else 20), part
+    assert len(found - set(range(len(keys)))) <= 6
+
+
 def test_secrets_of_odd_rows(odd):
     assert secrets.find_secrets(odd).count() == odd.count()
     assert secrets.find_secrets(odd.limit(0)).count() == 0
