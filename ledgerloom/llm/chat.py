@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +88,41 @@ def read_back(formatted: str, template: Template = Template()) -> list[tuple[str
 
 
 def digests(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Per conversation what its output reads back as."""
+    """Per conversation what its output reads back as.
 
-    @F.pandas_udf("n_turns long, turns_sha256 string")
-    def turns(formatted: pd.Series) -> pd.DataFrame:
-        read = [read_back(x, template) for x in formatted]
-        return pd.DataFrame({"n_turns": [len(x) for x in read], "turns_sha256": [hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode()).hexdigest() for x in read]})
-
-    @F.pandas_udf("loss_chars long, loss_sha256 string")
-    def loss(texts: pd.Series) -> pd.DataFrame:
-        read = ["".join(map(unescape, x)) for x in texts]
-        return pd.DataFrame({"loss_chars": [len(x) for x in read], "loss_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in read]})
+    A conversation's segments come to one task in order and are read back turn by turn as a stream, so no task
+    holds more than a batch of them, however long the conversation.
+    """
 
-    trained = F.transform(F.filter("segments", lambda s: s.loss), lambda s: s.text)
-    out = conversations_of(segments).select("conv_id", turns("formatted").alias("t"), loss(trained).alias("l"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
-    return out.select("conv_id", "t.*", "l.*", "formatted_chars", "valid")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+
+        def row() -> pa.RecordBatch:
+            key, turns, n, loss, loss_chars, chars, valid = own
+            return pa.RecordBatch.from_pylist([{"conv_id": key, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": chars, "valid": valid}], schema)
+
+        turn = ""
+        for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+            for key, segment, text, loss, valid in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "segment", "text", "loss", "valid"))):
+                if own is None or own[0] != key:
+                    if own is not None:
+                        yield row()
+                    own = [key, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, True]
+                own[5] += len(text)
+                own[6] = own[6] and valid
+                if loss:
+                    trained = unescape(text)
+                    own[3].update(trained.encode())
+                    own[4] += len(trained)
+                turn = text if segment == 0 else turn + text
+                if segment == 2:
+                    for r, t in read_back(turn, template):
+                        own[1].update(f"{r}\n{t}\n".encode())
+                        own[2] += 1
+        if own is not None:
+            yield row()
+
+    key = segments.schema["conv_id"].dataType.simpleString()
+    rows = segments.select("conv_id", "at", "segment", "text", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "at", "segment")
+    return rows.mapInArrow(run, f"conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

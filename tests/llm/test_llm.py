@@ -256,6 +256,24 @@ def test_chat(spark, table):
         assert all(t not in s.text for r in out.values() for s in r.segments if s.segment == 1)
 
 
+def test_chat_digests_gather_no_conversation(spark):
+    """Conversations over many batches, a null one among them, are read as a stream: the plan gathers no lists."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("conv_id"), (F.col("id") / 3).cast("long").alias("turn"), F.when((F.col("id") / 3).cast("long") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s>\\"), F.col("id")).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        done = chat.digests(chat.format_turns(df))
+        got = {r.conv_id: r for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+    assert set(got) == {None, 1, 2} and all(r.n_turns == 1000 and r.valid for r in got.values())
+    for k, r in got.items():
+        rows = [("user" if i % 2 == 0 else "assistant", f"</s>\\{3 * i + (k or 0)}") for i in range(1000)]
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in rows).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256("".join(t for a, t in rows if a == "assistant").encode()).hexdigest()
+
+
 def test_decontamination(spark, docs, table):
     some, items = table("documents"), table("benchmark")
     want = brute.leaks(texts_of(some), {r.item_id: r.text for r in items.collect()})
