@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def csv_cell(value: Column) -> Column:
@@ -35,11 +38,31 @@ def glob_regex(pattern: str) -> str:
 
 #: Hidden characters by label.
 HIDDEN = (("ZERO-WIDTH", "\\u200b-\\u200d\\u2060\\ufeff"), ("BIDI", "\\u202a-\\u202e\\u2066-\\u2069"), ("VARIATION", "\\ufe00-\\ufe0f"))
-#: Phrases that make a requirement vague, unverifiable or open.
-VAGUE = ("as appropriate", "if possible", "and so on", "user friendly", "easy to use", "fast", "etc", "the", "tbd", "to be determined")
+#: Phrases that weaken a requirement, by rule: vague terms, escape clauses, open-ended clauses, placeholders.
+WEAK = {
+    "R7": (
+        "some", "several", "many", "a lot of", "a few", "almost always", "very nearly", "nearly", "close to", "almost", "approximately", "approximate", "relevant", "routine", "generic", "significant", "flexible",
+        "expandable", "typical", "typically", "sufficient", "adequate", "appropriate", "efficient", "effective", "reasonable", "user-friendly", "easy", "easily", "fast", "quickly", "quick", "robust", "timely",
+        "intuitive", "seamless", "seamlessly", "minimal", "large", "small",
+    ),
+    "R8": (
+        "so far as is possible", "as far as possible", "as little as possible", "as much as possible", "where possible", "wherever possible", "if possible", "if it should prove necessary", "if necessary", "where necessary",
+        "to the extent necessary", "as appropriate", "where appropriate", "as required", "to the extent practical", "if practicable", "if needed",
+    ),
+    "R9": ("including but not limited to", "but not limited to", "etc.", "and so on", "and/or"),
+    "TBD": ("TBD", "TBC", "TBA", "to be determined", "to be confirmed", "to be decided"),
+}
 STOPWORDS = ("and", "are", "for", "from", "has", "that", "the", "this", "was", "with")
-INJECTION = r"(?i)ignore (all|any|previous) instructions|disregard (all|the) (above|previous)"
+#: Requests that a safety scan blocks, by kind.
+INJECTION = {
+    "prompt_injection": r"\bignore\s+(?:all\s+)?(?:previous|prior|above|the)\s+(?:instructions?|prompts?|rules?|system\s+messages?)\b",
+    "role_override": r"\byou\s+are\s+now\s+(?:a|an)\s+(?:new\s+)?(?:assistant|persona|character|model|developer|admin|root)\b",
+    "system_prompt_extraction": r"\b(?:show|reveal|print|repeat|output|leak|dump|disclose)\s+(?:me\s+)?(?:the\s+)?(?:system\s+prompt|hidden\s+instructions?|developer\s+message|initial\s+prompt)\b",
+    "jailbreak": r"\b(?:dan\s+mode|jailbreak|do\s+anything\s+now|developer\s+mode\s+enabled|sudo\s+mode)\b",
+}
 EMAIL, PHONE, SSN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", r"\b\d{3}-\d{2}-\d{4}\b"
+#: The same matches as EMAIL, tried only where a run of its characters begins or the match before ended.
+EMAIL_AT_RUN = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD = r"\b\d(?:[ -]?\d){12,18}\b"
 
 
@@ -77,11 +100,51 @@ def luhn_ok(digits: Column) -> Column:
     return digits.rlike(r"^\d{13,19}$") & (F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0)
 
 
+def redact_cards(text: Column, label: str = "[CARD]") -> Column:
+    """Numbers of 13 to 19 digits, spaced or dashed, that pass Luhn's check; others stay as they are."""
+    found, rest = F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), F.split(text, CARD, -1)
+    shown = F.transform(found, lambda m: F.when(luhn_ok(F.regexp_replace(m, "[ -]", "")), F.lit(label)).otherwise(m))
+    pieces = F.zip_with(rest, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(CARD), F.array_join(pieces, "")).otherwise(text)
+
+
 def redact(text: Column) -> Column:
-    """Emails, then phone numbers, then social security numbers; the order decides what overlaps become."""
-    out = F.regexp_replace(text, EMAIL, "[EMAIL]")
-    out = F.regexp_replace(out, PHONE, "[PHONE]")
-    return F.regexp_replace(out, SSN, "[SSN]")
+    """Emails, phone numbers, social security numbers, then card numbers; the order decides what overlaps become.
+
+    Texts without an @ or three digits in a row are not searched for what needs them.
+    """
+    out = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL_AT_RUN, "[EMAIL]")).otherwise(text)
+    numbers = redact_cards(F.regexp_replace(F.regexp_replace(out, PHONE, "[PHONE]"), SSN, "[SSN]"))
+    return F.when(out.rlike(r"\d{3}|\d[ -]\d"), numbers).otherwise(out)
+
+
+def redact_value(value: Column, kind: T.DataType, depth: int = 8) -> Column:
+    """Every string within a value redacted, down to ``depth`` levels of arrays, structs and map values."""
+    if isinstance(kind, T.StringType):
+        return redact(value)
+    if depth and isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType, depth - 1))
+    if depth and isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, v: redact_value(v, kind.valueType, depth - 1))
+    if depth and isinstance(kind, T.StructType):
+        fields = [redact_value(value.getField(f.name), f.dataType, depth - 1).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def weak_phrases(text: Column) -> Column:
+    """Distinct phrases of ``WEAK`` in a text, lower case, the longest at each place; letters and digits bound them."""
+    every = sorted((p for phrases in WEAK.values() for p in phrases), key=lambda p: (-len(p), p))
+    pattern = "|".join(re.escape(p.lower()).replace(r"\ ", r"\s+") for p in every)
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{pattern})(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"\s+", " ")))
+
+
+def weak_rule(phrase: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for rule, phrases in WEAK.items():
+        out = F.when(phrase.isin(*[p.lower() for p in phrases]), rule).otherwise(out)
+    return out
 
 
 def redact_keys(props: Column, *sensitive: str) -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that ``spark.checkpoint.dir`` names and read back, so that lineage stays short."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.conf.get("spark.app.id")
         base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="ledgerloom-")
     path = f"{base.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -32,35 +34,42 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.7, le
     the edges and one anti-join with what is claimed, written before the next.
     """
     start = seeds.select("node", F.lit(0).alias("depth"), F.lit(1.0).alias("raw"), F.col("weight").cast("double").alias("seed"), F.lit(None).cast("string").alias("relation"))
-    claimed = frontier = _written(start)
+    claimed = frontier = written(start)
     for level in range(1, depth + 1):
         step = frontier.join(edges, frontier.node == edges.src).select(
             F.col("dst").alias("node"), (F.col("weight") * (decay ** (level - 1))).alias("raw"), "seed", F.coalesce(frontier.relation, edges.relation).alias("relation"), F.col("src").alias("parent")
         )
         first = step.groupBy("node").agg(F.max_by(F.struct("raw", "seed", "relation"), F.struct("raw", "seed", (-F.col("parent")).alias("p"))).alias("b"))
-        frontier = _written(first.join(claimed, "node", "left_anti").select("node", F.lit(level).alias("depth"), "b.raw", "b.seed", "b.relation"))
-        claimed = _written(claimed.unionByName(frontier))
+        frontier = written(first.join(claimed, "node", "left_anti").select("node", F.lit(level).alias("depth"), "b.raw", "b.seed", "b.relation"))
+        claimed = written(claimed.unionByName(frontier))
     kept = claimed.where((F.col("depth") == 0) | (F.col("raw") >= least))
     return kept.select("node", "depth", F.round(F.col("raw") * F.col("seed"), 6).alias("confidence"), "relation")
 
 
 def twins(members: DataFrame, least: float, least_size: int) -> DataFrame:
-    """``a, b, similarity`` of keys whose item sets in ``members(key, item)`` overlap enough (Jaccard).
+    """``kind, a, b, similarity``: keys whose item sets in ``members(key, item)`` overlap enough (Jaccard).
 
-    An inverted index with a prefix filter: a pair that similar shares an item among the rarest ``n - ceil(t n) + 1``
-    of each, so only those are indexed, and pairs whose sizes differ too much are dropped before counting.
-    The most common items come last, so the longest posting lists are those least often in a prefix.
+    Keys of equal sets are one before anything is paired: a ``member`` row names each key's representative (the smallest
+    of them), a ``pair`` row two representatives. An inverted index with a prefix filter: a pair that similar shares
+    an item among the rarest ``n - ceil(t n) + 1`` of each, so only those are indexed; pairs whose sizes, or what follows
+    the shared items, leave too few to share are dropped before they are verified.
     """
-    own = members.select("key", "item").distinct()
-    sizes = own.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
+    sets = members.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items")).where(F.size("items") >= least_size)
+    keyed = written(sets.withColumn("digest", F.sha2(F.array_join(F.col("items").cast("array<string>"), "\0"), 256)))
+    first = written(keyed.groupBy("digest").agg(F.min("key").alias("rep")))
+    member = keyed.select("key", "digest").join(first, "digest").select(F.lit("member").alias("kind"), F.col("key").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
+    own = keyed.join(first, F.col("key") == F.col("rep"), "left_semi").select("key", F.explode("items").alias("item"))
     rarity = own.groupBy("item").agg(F.count("*").alias("df"))
-    listed = own.join(rarity, "item").join(sizes, "key").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
-    listed = _written(listed.select("key", "size", F.transform("s", lambda x: x["item"]).alias("items")))
-    prefix = listed.select("key", "size", F.explode(F.slice("items", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int"))).alias("item"))
-    b = prefix.withColumnsRenamed({"key": "b", "size": "size_b"})
-    close = (F.col("a") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
-    met = prefix.withColumnRenamed("key", "a").join(b, "item").where(close).select("a", "b").distinct()
-    sets = listed.select("key", "items")
-    both = met.join(sets.withColumnsRenamed({"key": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"key": "b", "items": "y"}), "b")
-    similarity = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
-    return both.select("a", "b", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= least)
+    ranked = own.join(rarity, "item").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
+    listed = written(ranked.select("key", F.size("s").alias("size"), F.transform("s", lambda x: x["item"]).alias("items")))
+    most = (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int")
+    prefix = listed.select("key", "size", F.posexplode(F.slice("items", F.lit(1), most)).alias("at", "item"))
+    b = prefix.withColumnsRenamed({"key": "b", "size": "size_b", "at": "at_b"})
+    sizes = (F.col("a") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+    # All that two sets can still share: the items from the shared one on.
+    left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b")) + F.least("at", "at_b")
+    met = prefix.withColumnRenamed("key", "a").join(b, "item").where(sizes & (left * (1 + least) >= least * (F.col("size") + F.col("size_b")) - 1e-9)).select("a", "b").distinct()
+    side = lambda k, x: listed.select(F.col("key").alias(k), F.col("items").alias(x))
+    both = met.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("hit", F.size(F.array_intersect("x", "y")))
+    similarity = F.col("hit") / (F.size("x") + F.size("y") - F.col("hit"))
+    return member.unionByName(both.where(similarity >= least).select(F.lit("pair").alias("kind"), "a", "b", F.round(similarity, 6).alias("similarity")))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import written
 from ledgerloom.operators.relational import top_per_group
 
 K1, B, FUSION = 1.2, 0.75, 60
 BROADCAST_ROWS = 20_000
 
 
-def _checked(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Broadcast only what is counted to be small; larger sides are left to the planner."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -38,7 +39,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     corpus keeps its own k best before they meet (the rank filter is pushed below the exchange).
     """
     unit = lambda df, name: df.select(name, F.col("vector").alias(f"{name}_v"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias(f"{name}_n"))
-    pairs = unit(corpus, "item").join(_checked(unit(queries, "query")), F.col("query") != F.col("item"))
+    pairs = unit(corpus, "item").join(small_side(unit(queries, "query")), F.col("query") != F.col("item"))
     norms = F.col("query_n") * F.col("item_n")
     score = F.round(F.when(norms == 0, 0.0).otherwise(dot(F.col("query_v"), F.col("item_v")) / F.nullif(norms, F.lit(0.0))), 6)
     return top_per_group(pairs.select("query", "item", score.alias("score")), ["query"], k, F.desc("score"), F.col("item"))
@@ -47,18 +48,21 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, item, score`` of ``docs(item, tokens)`` for ``queries(query, tokens)``; any shared token is enough.
 
-    Only tokens that some query has are kept after lengths are counted, then counts join on the token.
+    Documents are read once: their lengths, and the counts of tokens that some query has, are written, and document
+    frequencies come from these. Only tokens of a query are ever shuffled.
     """
-    sizes = docs.select("item", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    asked = queries.select("query", F.explode(F.array_distinct("tokens")).alias("token"))
-    tf = sizes.join(_checked(asked.select("token").distinct()), "token").groupBy("item", "size", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+    asked = written(queries.select("query", F.explode(F.array_distinct("tokens")).alias("token")))
+    known = small_side(asked.select("token").distinct())
+    each = docs.select("item", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token"))
+    tf = written(each.join(known.withColumn("known", F.lit(True)), "token", "left").groupBy("item", "size", F.when(F.col("known"), F.col("token")).alias("token")).agg(F.count("*").alias("tf")))
+    stats = tf.groupBy("item").agg(F.first("size").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    hits = tf.where("token IS NOT NULL")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    weighed = hits.join(df, "token").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = weighed.select("item", "token", part.alias("part"))
-    return scored.join(_checked(asked), "token").groupBy("query", "item").agg(F.sum("part").alias("score"))
+    return scored.join(small_side(asked), "token").groupBy("query", "item").agg(F.sum("part").alias("score"))
 
 
 def fuse(*ranked: DataFrame, k: int = FUSION) -> DataFrame:

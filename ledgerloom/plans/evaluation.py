@@ -86,12 +86,12 @@ def regression_deltas(spark, sf_dir):
     return pivoted.where(F.col("1").isNotNull() | F.col("0").isNotNull()).select("lang", F.round(delta, 6).alias("delta"), (delta < -0.05).alias("regressed"))
 
 
-@query(f"WITH {SCORED}, c AS (SELECT lang, n_chars // 2000 AS tier, count(*) AS n, count(*) FILTER (WHERE actual) AS hits FROM s WHERE n_chars < 8000 GROUP BY ALL), d AS (SELECT * FROM (SELECT DISTINCT lang FROM s) CROSS JOIN (SELECT i AS tier FROM range(4) t(i))) SELECT lang, tier, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, round(hits / n::DOUBLE, 6) AS precision FROM d LEFT JOIN c USING (lang, tier)")
+@query(f"WITH {SCORED}, c AS (SELECT lang, least(n_chars // 2000, 3) AS tier, count(*) AS n, count(*) FILTER (WHERE actual) AS hits FROM s GROUP BY ALL), d AS (SELECT * FROM (SELECT DISTINCT lang FROM s) CROSS JOIN (SELECT i AS tier FROM range(4) t(i))) SELECT lang, tier, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, round(hits / n::DOUBLE, 6) AS precision FROM d LEFT JOIN c USING (lang, tier)")
 def tier_matrix(spark, sf_dir):
-    """Language by length tier, with empty cells: every key gets the four fixed tiers."""
+    """Language by length tier, with empty cells: every key gets the four fixed tiers, the last of which is open."""
     s = _scored(spark, sf_dir)
-    tier = F.floor(F.col("n_chars") / 2000)
-    c = s.where("n_chars < 8000").groupBy("lang", tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if("actual").alias("hits"))
+    tier = F.least(F.floor(F.col("n_chars") / 2000), F.lit(3))
+    c = s.groupBy("lang", tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if("actual").alias("hits"))
     dense = s.select("lang").distinct().withColumn("tier", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return dense.join(c, ["lang", "tier"], "left").select("lang", "tier", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"), F.round(F.col("hits") / F.col("n"), 6).alias("precision"))
 

@@ -9,11 +9,11 @@ from ledgerloom.operators.relational import first_by
 from ledgerloom.plans.registry import query, table
 
 #: Nodes are suppliers (1000000 + key) and parts; an edge of weight 0.5 to 1 in each direction.
-EDGES = "e AS (SELECT p AS src, 1000000 + s AS dst, 0.5 + (p % 6) / 10.0::DOUBLE AS weight, CASE WHEN p % 2 = 0 THEN 'imports' ELSE 'caller' END AS relation FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey % 5 = 0) UNION ALL SELECT 1000000 + s, p, 0.5 + (p % 6) / 10.0::DOUBLE, 'caller' FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey % 5 = 0))"
+EDGES = "e AS (SELECT p AS src, 1000000 + s AS dst, 0.5 + (p % 6) / 10.0::DOUBLE AS weight, CASE WHEN p % 2 = 0 THEN 'imports' ELSE 'caller' END AS relation FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) UNION ALL SELECT 1000000 + s, p, 0.5 + (p % 6) / 10.0::DOUBLE, 'caller' FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem))"
 
 
 def _edges(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select("l_partkey", "l_suppkey").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part, supplier, weight = F.col("l_partkey"), F.col("l_suppkey") + 1000000, 0.5 + (F.col("l_partkey") % 6) / 10
     out = pairs.select(part.alias("src"), supplier.alias("dst"), weight.alias("weight"), F.when(part % 2 == 0, "imports").otherwise("caller").alias("relation"))
     return out.unionByName(pairs.select(supplier.alias("src"), part.alias("dst"), weight.alias("weight"), F.lit("caller").alias("relation")))
@@ -29,11 +29,12 @@ def blast_radius(spark, sf_dir):
     return G.reach(_edges(spark, sf_dir), seeds, 2)
 
 
-@query("WITH m AS (SELECT DISTINCT o_custkey AS key, p_brand AS item FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey), s AS (SELECT key, count(*) AS size FROM m GROUP BY 1 HAVING count(*) >= 6), i AS (SELECT a.key AS a, b.key AS b, count(*) AS hit FROM m a JOIN m b ON a.item = b.item AND a.key < b.key GROUP BY 1, 2) SELECT a, b, round(hit / (x.size + y.size - hit)::DOUBLE, 6) AS similarity FROM i JOIN s x ON a = x.key JOIN s y ON b = y.key WHERE round(hit / (x.size + y.size - hit)::DOUBLE, 6) >= 0.9")
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS key, l_partkey AS item FROM lineitem), s AS (SELECT key, count(*) AS size, list_sort(list(item)) AS items FROM m GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT key, size, min(key) OVER (PARTITION BY items) AS rep FROM s),
+ reps AS (SELECT key, size FROM r WHERE key = rep), o AS (SELECT m.* FROM m JOIN reps USING (key)), i AS (SELECT a.key AS a, b.key AS b, count(*) AS hit FROM o a JOIN o b ON a.item = b.item AND a.key < b.key GROUP BY 1, 2)
+ SELECT 'member' AS kind, key AS a, rep AS b, 1.0::DOUBLE AS similarity FROM r UNION ALL SELECT 'pair', a, b, round(hit / (x.size + y.size - hit)::DOUBLE, 6) FROM i JOIN reps x ON a = x.key JOIN reps y ON b = y.key WHERE hit / (x.size + y.size - hit)::DOUBLE >= 0.6""")
 def structural_twins(spark, sf_dir):
-    """Customers by the brands they buy."""
-    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return G.twins(lines.select(F.col("o_custkey").alias("key"), F.col("p_brand").alias("item")), 0.9, 6)
+    """Orders by the parts they hold."""
+    return G.twins(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("item")), 0.6, 2)
 
 
 @query(f"WITH {EDGES} SELECT dst AS node, count(*) AS callers, min(src) AS first FROM e GROUP BY 1")

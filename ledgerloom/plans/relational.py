@@ -100,9 +100,10 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(hits, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    hidden = table(spark, sf_dir, "orders").where("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(hidden, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT n_name, count(*) AS n FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey GROUP BY 1")
@@ -133,13 +134,13 @@ def schema_reconciliation(spark, sf_dir):
     return R.two_key_reconcile(part.select(name.alias("name")), catalog)
 
 
-@query("""WITH r AS (SELECT p_brand AS target, CASE WHEN max(p_size) > 49 THEN 'used' ELSE 'uncertain' END AS class FROM part GROUP BY 1), o AS (SELECT target, arg_min(class, pk) AS class FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'New#' || (p_partkey % 5) END AS target, CASE WHEN p_size > 25 THEN 'used' ELSE 'unreferenced' END AS class, p_partkey AS pk FROM part WHERE p_partkey <= 40) GROUP BY 1)
+@query("""WITH r AS (SELECT p_brand AS target, CASE WHEN max(p_size) > 49 THEN 'used' ELSE 'uncertain' END AS class FROM part GROUP BY 1), o AS (SELECT target, arg_min(class, pk) AS class FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'New#' || (p_partkey % 5) END AS target, CASE WHEN p_size > 25 THEN 'used' ELSE 'unreferenced' END AS class, p_partkey AS pk FROM part) GROUP BY 1)
  SELECT target, coalesce(o.class, r.class) AS class, CASE WHEN o.class IS NOT NULL THEN r.class END AS prior_class FROM r FULL JOIN o USING (target)""")
 def override_merge(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.groupBy(F.col("p_brand").alias("target")).agg(F.when(F.max("p_size") > 49, "used").otherwise("uncertain").alias("class"))
     target = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("New#"), (F.col("p_partkey") % 5).cast("string")))
-    return R.override_merge(rows, part.where("p_partkey <= 40").select(target.alias("target"), F.when(F.col("p_size") > 25, "used").otherwise("unreferenced").alias("class"), F.col("p_partkey").alias("at")))
+    return R.override_merge(rows, part.select(target.alias("target"), F.when(F.col("p_size") > 25, "used").otherwise("unreferenced").alias("class"), F.col("p_partkey").alias("at")))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
