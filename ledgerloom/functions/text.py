@@ -196,3 +196,62 @@ def jaccard(a: Column, b: Column, empty: float) -> Column:
     """Of two sets as arrays; ``empty`` is the value for two empty ones, which callers define differently."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))
+
+
+def extractive_summary(text: Column, most: int) -> Column:
+    """The best sentences that fit ``most`` characters, in their order; short texts stay, one or two sentences are cut.
+
+    The first scores 10, the last 8, one that names an entity or a number 3, a short one with a digit 2; ties by place.
+    """
+    from ledgerloom.operators.matching import fitting
+
+    parts = F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+
+    def scored(all_: Column) -> Column:
+        last = F.size(all_) - 1
+        score = lambda s, i: F.when(i == 0, 10).otherwise(0) + F.when(i == last, 8).otherwise(0) + F.when(s.rlike(r"[A-Z][A-Za-z]+[^.!?]* [A-Z][a-z]+|\d"), 3).otherwise(0) + F.when((F.length(s) < 100) & s.rlike(r"\d"), 2).otherwise(0)
+        return F.transform(all_, lambda s, i: F.struct((-score(s, i)).alias("less"), i.alias("i"), s.alias("s")))
+
+    taken = fitting(F.array_sort(scored(parts)), lambda x: F.length(x.s), most, 1)
+    chosen = F.array_join(F.transform(F.array_sort(F.transform(taken, lambda x: F.struct(x.i.alias("i"), x.s.alias("s")))), lambda x: x.s), " ")
+    return F.when(F.length(text) <= most, text).when(F.size(parts) <= 2, F.substring(text, 1, most)).otherwise(chosen)
+
+
+def code_terms(text: Column) -> Column:
+    """Identifiers in lower case and their camel- and snake-case parts, distinct, stemmed lightly, without stop words."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0))
+    parts = F.flatten(F.transform(words, lambda w: F.split(snake_case(w), "_")))
+    every = F.filter(F.concat(F.transform(words, lambda w: F.lower(w)), parts), lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))
+    cut = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+
+    def root(w: Column) -> Column:
+        n = F.length(w)
+        out = F.when((n > 4) & w.endswith("ies"), F.concat(cut(w, 3), F.lit("y"))).when((n > 5) & w.endswith("ing"), cut(w, 3)).when((n > 4) & w.endswith("ed"), cut(w, 2))
+        return out.when((n > 3) & w.endswith("s") & ~w.endswith("ss"), cut(w, 1)).otherwise(w)
+
+    return F.array_distinct(F.transform(every, root))
+
+
+def branch_issues(branch: Column) -> Column:
+    """Numbers over zero of a branch name (``issue-12``, ``gh-12`` or bare between separators), each once, in order."""
+    found = F.regexp_extract_all(branch, F.lit(r"(?:^|[/_-])(?:issue-?|gh-?)?(\d+)(?=$|[/_-])"), F.lit(1)).cast("array<bigint>")
+    return F.array_sort(F.array_distinct(F.filter(found, lambda n: n > 0)))
+
+
+def normalise_criterion(text: Column) -> Column:
+    """A criterion without code citations, lower case, letters and digits apart by single spaces."""
+    citation = r"[(\[]?[\w./-]+\.\w+:\d+(?:-\d+)?[)\],.;]*"
+    out = F.regexp_replace(text, rf"\((?=[^()]*\b[\w./-]+\.\w+:\d)[^()]*\)", " ")
+    out = F.regexp_replace(out, rf"(?<!\S){citation}(?!\S)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}\s]+", " "), r"\s+", " "))
+
+
+def hash_embedding(text: Column, size: int, model: str) -> Column:
+    """``size`` numbers (a multiple of 8) from the SHA-256 of model, counter and text, as a vector of length 1."""
+    if size <= 0 or size % 8:
+        raise ValueError("the size must be a positive multiple of 8")
+    blocks = [F.sha2(F.concat(F.lit(f"{model}|{k}|"), text), 256) for k in range(-(-size // 32))]
+    digits = F.concat(*blocks)
+    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(values, lambda x: x / F.when(length == 0, 1.0).otherwise(length))
