@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.graph import written
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, compared: Sequence[str]) -> DataFrame:
     """Full outer join by key: added, removed, changed or unchanged, comparing with nulls equal."""
@@ -74,6 +76,21 @@ def override_merge(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     return both.select("target", F.coalesce("_class", "class").alias("class"), F.when(F.col("_class").isNotNull(), F.col("class")).alias("prior_class"))
 
 
+def numbered(df: DataFrame, group: str, name: str, *order: Column) -> DataFrame:
+    """``df`` with ``name``: each row's place in its group, from 1. A group of any size is numbered by many tasks.
+
+    Rows are dealt out by ranges of (group, order) and written; each range numbers its own rows, and what its group
+    has in the ranges before is added.
+    """
+    rows = written(df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_at"), before.alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    joined = own.join(offsets, own[group].eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
+    return joined.withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_group", "_at", "_before", "_own")
+
+
 def budget_prefix(df: DataFrame, cost: str, budget: int, keys: Sequence[str], *order: Column) -> DataFrame:
     """Rows of each key in order until one would exceed the budget; nothing behind it is taken."""
     running = F.sum(cost).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

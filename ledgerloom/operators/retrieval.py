@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,54 @@ def fuse(*ranked: DataFrame, k: int = FUSION) -> DataFrame:
     return every.groupBy("query", "item").agg(F.round(F.sum(1 / (k + F.col("rank"))), 6).alias("score"))
 
 
+def similar_pairs(vectors: DataFrame, least: float, cell: int) -> DataFrame:
+    """``a, b`` (a < b) of ``vectors(scope, id, vector)`` within a scope whose cosine is ``least`` or more.
+
+    A scope is cut into parts of about ``cell`` vectors; every two parts meet in one task, as a product of two matrices.
+    """
+    sizes = vectors.groupBy("scope").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
+    placed = vectors.join(sizes, "scope").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    met = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = met.select("scope", "id", "vector", F.col("i").alias("own"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.vstack(rows["vector"].to_numpy()).astype(float)
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix /= np.where(norms == 0, 1, norms)
+        ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()
+        one, two = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
+        x, y = np.nonzero(matrix[one] @ matrix[two].T >= least)
+        a, b = ids[one[x]], ids[two[y]]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return pd.DataFrame({"a": low[low < high], "b": high[low < high]}).drop_duplicates()
+
+    return cells.groupBy("scope", "i", "j").applyInPandas(near, "a long, b long")
+
+
+def cache_replay(rows: DataFrame, least: float, cell: int = 1024) -> DataFrame:
+    """``vec_id, hit``: every row of ``rows(scope, vec_id, embedding)`` in id order against those its scope stored before.
+
+    A row is a hit if a stored one is similar enough, else it is stored. Equal vectors are one, as all but the first hit.
+    Then rows settle in rounds: stored if every similar earlier row is a hit, a hit if one of these is stored. A round is
+    a join and a count of what is still open; each is written before the next.
+    """
+    keyed = written(rows.select("scope", "vec_id", F.col("embedding").alias("vector"), F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("digest")))
+    first = written(keyed.groupBy("scope", "digest").agg(F.min("vec_id").alias("vec_id")))
+    nodes = keyed.join(first, ["scope", "digest", "vec_id"], "left_semi").select("scope", F.col("vec_id").alias("id"), "vector")
+    edges = written(similar_pairs(nodes, least, cell).distinct())
+    stored = written(nodes.select("id").join(edges.select(F.col("b").alias("id")), "id", "left_anti"))
+    while True:
+        hits = written(edges.join(stored.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        open_ = nodes.select("id").join(stored, "id", "left_anti").join(hits, "id", "left_anti")
+        waits = edges.join(hits.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("b").alias("id"))
+        more = written(open_.join(waits, "id", "left_anti"))
+        if more.isEmpty():
+            break
+        stored = written(stored.unionByName(more))
+    own = keyed.select("vec_id").join(stored.select(F.col("id").alias("vec_id"), F.lit(False).alias("hit")), "vec_id", "left")
+    return own.select("vec_id", F.coalesce("hit", F.lit(True)).alias("hit"))
+
+
 def relevance_floor(hits: DataFrame, floor: float) -> DataFrame:
     """Drop hits whose dense score is below the floor; keyword-only ones (null) stay if some dense hit of the query clears it."""
     clears = F.max(F.coalesce(F.col("dense") >= floor, F.lit(False))).over(Window.partitionBy("query"))

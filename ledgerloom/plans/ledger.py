@@ -175,10 +175,15 @@ def tool_cache_summary(spark, sf_dir):
 @query("""SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE value > 90) AS errors, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (WHERE k <= 3) AS samples
  FROM (SELECT *, row_number() OVER (PARTITION BY event_type, value > 90 ORDER BY event_id) + CASE WHEN value > 90 THEN 0 ELSE 10 END AS k FROM events) GROUP BY 1""")
 def tool_call_telemetry(spark, sf_dir):
+    """Calls and errors of each tool with three samples of errors. Samples are picked in 64 parts of a tool, then among these."""
     bad = F.col("value") > 90
-    k = F.row_number().over(Window.partitionBy("event_type", bad).orderBy("event_id")) + F.when(bad, 0).otherwise(10)
-    rows = table(spark, sf_dir, "events").withColumn("k", k)
-    return rows.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.count_if(bad).alias("errors"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("k") <= 3, F.col("event_id")))).cast("array<string>"), ",").alias("samples"))
+    events = table(spark, sf_dir, "events")
+    counts = events.groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(bad).alias("errors"))
+    few = events.where(bad).select("event_type", "event_id", F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part"))
+    for keys in (["event_type", "part"], ["event_type"]):
+        few = few.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("event_id"))).where("k <= 3")
+    samples = few.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("event_id")).cast("array<string>"), ",").alias("samples"))
+    return counts.join(samples, "event_type", "left").select(F.col("event_type").alias("tool"), "calls", "errors", "samples")
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, date_trunc('month', ts)::DATE AS start, day(last_day(ts::DATE))::INTEGER AS days, count(*) AS n FROM events GROUP BY ALL")

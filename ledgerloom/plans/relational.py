@@ -183,8 +183,9 @@ def budget_prefix(spark, sf_dir):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, CASE WHEN o_orderpriority < '3' THEN -o_totalprice ELSE 0 END, o_orderkey) AS place FROM orders")
 def enum_sort(spark, sf_dir):
-    order = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority", F.when(F.col("o_orderpriority") < "3", -F.col("o_totalprice")).otherwise(0.0), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
+    """Three statuses hold all rows, so places are counted by ranges, not by one task a status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderpriority") < "3", -F.col("o_totalprice")).otherwise(0.0).alias("less"))
+    return R.numbered(orders, "o_orderstatus", "place", F.col("o_orderpriority"), F.col("less"), F.col("o_orderkey")).select("o_orderkey", "place")
 
 
 @query("(SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0 EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 1)")
@@ -236,8 +237,9 @@ def set_equality(spark, sf_dir):
 
 @query("SELECT field, CASE WHEN k = 1 THEN field ELSE field || '#' || k END AS key, p_partkey FROM (SELECT p_brand AS field, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
 def key_suffixing(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("field"), F.when(k == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("#"), k.cast("string"))).alias("key"), "p_partkey")
+    rows = R.numbered(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", "k", F.col("p_partkey"))
+    key = F.when(F.col("k") == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("#"), F.col("k").cast("string")))
+    return rows.select(F.col("p_brand").alias("field"), key.alias("key"), "p_partkey")
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, coalesce((props->>'$.k') = '7', false) AS flag, try_cast(props->>'$.k' AS BIGINT) > 50 AS large FROM events")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.retrieval import cache_replay
 from ledgerloom.plans.registry import query, table
 
 
@@ -54,43 +56,47 @@ def quiet_period_alerts(spark, sf_dir):
     return hot.withColumn("before", before).where("before IS NULL OR ts - before >= INTERVAL '12' HOUR").select("user_id", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s FROM events WHERE value > 80), f AS (SELECT user_id, arg_min(event_id, (s, event_id)) AS event_id, min(s) AS s FROM c GROUP BY 1
+ UNION ALL SELECT f.user_id, arg_min(c.event_id, (c.s, c.event_id)), min(c.s) FROM f JOIN c ON c.user_id = f.user_id AND c.s >= f.s + 43200 GROUP BY f.user_id) SELECT user_id, event_id FROM f""")
 def cooldown_alerts(spark, sf_dir):
-    """Alerts at least twelve hours after the user's last fired one. A fold over each user's own candidates."""
-
-    def fire(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "event_id"])
-        last, kept = -1e18, []
-        for at in rows["at"]:
-            kept.append(at - last >= 12 * 3600)
-            last = at if kept[-1] else last
-        return rows.loc[kept, ["user_id", "event_id"]]
+    """Alerts at least twelve hours after the user's last fired one: a sorted stream that keeps one time, whatever a user's events."""
+
+    def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last = None, -(1 << 62)
+        for rows in batches:
+            kept = []
+            for u, at in zip(rows["user_id"], rows["at"]):
+                if u != user:
+                    user, last = u, -(1 << 62)
+                kept.append(at - last >= 12 * 3600)
+                last = at if kept[-1] else last
+            yield rows.loc[kept, ["user_id", "event_id"]]
 
     hot = _events(spark, sf_dir).where("value > 80").select("user_id", "event_id", "at")
-    return hot.groupBy("user_id").applyInPandas(fire, "user_id long, event_id long")
+    return hot.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(fire, "user_id long, event_id long")
 
 
 @query()
 def semantic_cache_replay(spark, sf_dir):
     """Each label's vectors in id order against those it stored before: hit at cosine 0.92 or more, else stored."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("scope"), "embedding")
+    return cache_replay(rows, 0.92)
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        stored, hits = np.empty((0, 64)), []
-        for v in rows["embedding"]:
-            v = np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
-            hits.append(bool(len(stored)) and float((stored @ v).max()) >= 0.92)
-            if not hits[-1]:
-                stored = np.vstack([stored, v])
-        return pd.DataFrame({"vec_id": rows["vec_id"], "hit": hits})
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").groupBy("label").applyInPandas(replay, "vec_id long, hit boolean")
 
-
-@query()
+@query("SELECT event_id, event_type FROM events WHERE md5(event_id::VARCHAR) < '028f5c28f5c28f5c28f5c28f5c28f5c2'")
 def hashed_sample(spark, sf_dir):
     """The one percent of events whose hash says so; the same rows on every run."""
-    return table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(100)) < 1).select("event_id", "event_type")
+    return table(spark, sf_dir, "events").where(F.md5(F.col("event_id").cast("string")) < "028f5c28f5c28f5c28f5c28f5c28f5c2").select("event_id", "event_type")
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id::VARCHAR)) AS k FROM events) WHERE k <= 20")
+def count_limited_sample(spark, sf_dir):
+    """Twenty events of each type, the smallest by hash: picked in 64 parts of a type, then among these."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.md5(F.col("event_id").cast("string")).alias("h"))
+    rows = rows.withColumn("part", F.substring("h", 31, 2))
+    for keys in (["event_type", "part"], ["event_type"]):
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where("k <= 20")
+    return rows.select("event_type", "event_id")
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m') AS month, sum(round(value * 100)::BIGINT)::BIGINT AS reserved, (sum(round(value * 100)::BIGINT) FILTER (WHERE event_type <> 'error'))::BIGINT AS settled FROM events GROUP BY 1, 2")

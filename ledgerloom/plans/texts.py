@@ -194,7 +194,7 @@ def nfkc_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(udfs.nfkc_key("text")).alias("digest"))
 
 
-@query()
+@query("SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::UBIGINT)), lambda h, u: (xor(h, u) * 16777619) % 4294967296)) AS hash FROM part")
 def fnv_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", udfs.fnv1a("p_name").alias("hash"))
 
