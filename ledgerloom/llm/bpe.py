@@ -10,9 +10,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
-import threading
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import documents_of
+from ledgerloom.llm.common import documents_of, small_batches
 
 #: Unicode White_Space, which is what the split pattern means by white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Every match of the split pattern lies within one match of this, and splits alike on its own.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Segments, and pairs of tokens, a worker remembers before it starts anew; bounds its memory.
-MEMO = 200_000
-#: Seconds after its last task until a worker gives up its encoder, so that other stages have the memory.
-IDLE_S = 3
+#: Segments and pieces, prefixes, and pairs of tokens that a task remembers before it starts anew; they bound its memory.
+MEMO, PREFIXES, PAIRS = 150_000, 100_000, 200_000
 #: Rows coded at once.
 ROWS = 256
 MARKS = (4, 7, 10, 13)
@@ -47,59 +43,61 @@ class PrefixBpe:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        #: Token bytes by id, the same objects as the keys of ``ranks``.
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         #: The last tokens of prefixes of MARKS bytes, which other pieces append to.
         self.prefixes: dict[bytes, bytes] = {}
-        #: The tokens from their last byte to their first: the next node by node and byte, and the token that ends at a node.
-        self.step: dict[int, int] = {}
-        self.token_at = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in reversed(token):
-                key = node << 8 | byte
-                if (node := self.step.get(key)) is None:
-                    node = self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-            self.token_at[node] = rank
-
-    def merged(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties. Only for the two tokens of a pair, so ``data`` is short."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a then b encode as just these two."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self.stay_apart(self.bytes_of[a], self.bytes_of[b])
         return known
 
+    def stay_apart(self, a: bytes, b: bytes) -> bool:
+        """Merge the bytes of both, lowest rank first and leftmost on ties, until nothing merges or a merge joins a with b."""
+        get, data, none = self.ranks.get, a + b, 1 << 60
+        parts = [data[i : i + 1] for i in range(len(data))]
+        costs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        border = len(a) - 1
+        while (low := min(costs)) < none:
+            i = costs.index(low)
+            if i == border:
+                return False
+            border -= i < border
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return True
+
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
-        """Append to ``last`` the last token of every prefix of ``data`` it does not have yet."""
-        step, token_at, pairs = self.step.get, self.token_at, self.pairs
-        for end in range(len(last), len(data) if stop is None else stop):
-            node, start = 0, end
-            while True:
-                node = step(node << 8 | data[start])
-                if node is None:
-                    raise ValueError("a byte has no token")
-                token = token_at[node]
-                if token >= 0:
+        """Append to ``last`` the last token of every prefix of ``data`` it does not have yet.
+
+        Tokens that end the prefix are tried from the shortest; a prefix whose own bytes are a token ends with it
+        if none shorter is valid.
+        """
+        rank, pairs, longest = self.ranks.get, self.pairs, self.longest
+        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                token = rank(data[start:end])
+                if token is not None:
                     if not start:
                         break
                     ok = pairs.get(last[start - 1] << 32 | token)
                     if ok or ok is None and self.compatible(last[start - 1], token):
                         break
-                start -= 1
+            else:
+                raise ValueError("a byte has no token")
             last.append(token)
 
     def walk(self, last: list[int]) -> list[int]:
@@ -120,7 +118,7 @@ class PrefixBpe:
                 break
         for at in MARKS:
             if len(last) < at < len(data):
-                if len(self.prefixes) >= MEMO:
+                if len(self.prefixes) >= PREFIXES:
                     self.prefixes.clear()
                 self.extend(data, last, at)
                 self.prefixes[data[:at]] = struct.pack(f"{at}i", *last)
@@ -166,35 +164,36 @@ class PrefixState:
 class TextEncoder:
     """Splits a text by the pattern and encodes its pieces, remembering segments and pieces already met.
 
-    Ids are kept as native 32-bit integers in bytes. A full memo becomes the older one, and what is met
-    again moves from the older to the newer, so at most twice ``MEMO`` of either are kept.
+    Ids are kept as native 32-bit integers in bytes. One memo holds both, as a piece that stands alone splits into
+    itself. A full memo becomes the older one, and what is met again moves from the older to the newer, so at
+    most twice ``MEMO`` are kept.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.bpe, self.pattern = PrefixBpe(ranks), regex.compile(pattern)
-        self.whole = {b.decode(): struct.pack("i", i) for b, i in ranks.items() if not b.decode("utf-8", "replace").count("\ufffd")}
-        self.pieces: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.older: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
-        known = self.whole.get(s) or self.pieces.get(s) or self.older[1].get(s)
+        known = self.memo.get(s) or self.older.get(s)
         if known is None:
             ids = self.bpe.encode_piece(s.encode())
             known = struct.pack(f"{len(ids)}i", *ids)
-            if len(s) < 80:
-                self.pieces[s] = known
+            self.keep(s, known)
         return known
 
-    def segment(self, s: str) -> bytes:
-        known = self.older[0].get(s)
-        if known is None:
-            known = b"".join(map(self.piece, self.pattern.findall(s)))
+    def keep(self, s: str, ids: bytes) -> None:
         if len(s) < 80:
-            self.memo[s] = known
+            self.memo[s] = ids
             if len(self.memo) >= MEMO:
-                self.older = self.memo, self.pieces
-                self.memo, self.pieces = {}, {}
+                self.older, self.memo = self.memo, {}
+
+    def segment(self, s: str) -> bytes:
+        known = self.older.get(s)
+        if known is None:
+            pieces = self.pattern.findall(s)
+            known = self.piece(s) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
+        self.keep(s, known)
         return known
 
     def ids(self, text: str) -> np.ndarray:
@@ -210,7 +209,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Rows are independent, so nothing is shuffled; repeated rows stay repeated and null ids stay null. The
     rank table is read once by the driver and broadcast: its size is the vocabulary's, whatever the input.
-    A worker keeps at most ``MEMO`` segments; a very long piece takes time linear in its bytes.
+    A task remembers ``MEMO`` segments or so, and drops them at its end; a very long piece takes time linear in its
+    bytes. An empty table gives an empty one.
     """
     return _mapped(docs, ranks_path, pattern, id_col, text_col, False)
 
@@ -221,13 +221,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with _worker_encoder(ranks, pattern) as encoder:
-            yield from coded(batches, encoder)
-
-    def coded(batches: Iterator[pa.RecordBatch], encoder: TextEncoder) -> Iterator[pa.RecordBatch]:
+        encoder = TextEncoder(ranks.value, pattern)
         get = encoder.bpe.bytes_of.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -242,32 +240,14 @@ def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
     return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
-_WORKER: dict = {}
-_RELEASE: list[threading.Timer] = []
-
-
-@contextmanager
-def _worker_encoder(ranks, pattern: str) -> Iterator[TextEncoder]:
-    """One encoder for each Python worker and broadcast. Its memo outlives a task, but not ``IDLE_S`` without one."""
-    while _RELEASE:
-        _RELEASE.pop().cancel()
-    key = (id(ranks.value), pattern)
-    encoder = _WORKER.get(key)
-    if encoder is None:
-        _WORKER.clear()
-        encoder = _WORKER[key] = TextEncoder(ranks.value, pattern)
-    try:
-        yield encoder
-    finally:
-        timer = threading.Timer(IDLE_S, _WORKER.clear)
-        timer.daemon = True
-        timer.start()
-        _RELEASE.append(timer)
-
-
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded`` (binary): the bytes of its ids; an unknown id is an error."""
+    """``encoded`` with a column ``decoded`` (binary): the bytes of its ids; an unknown id is an error.
+
+    Null ids decode to no bytes; an empty table gives an empty one. A column that is named ``decoded`` is replaced.
+    """
     spark = encoded.sparkSession
+    encoded = encoded.drop("decoded")
+    small_batches(spark)
     table = {i: b for b, i in read_ranks(ranks_path).items()}
     tokens = spark.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
 
