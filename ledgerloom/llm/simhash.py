@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerloom.llm.common import connected_components, documents_of, materialize
+from ledgerloom.llm.common import connected_components, documents_of, materialize, small_batches
 
 RADIUS = 3
 #: Fingerprints within 3 bits differ in 3 of their 8 bytes at most, so they share 5.
@@ -49,18 +49,21 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp long)`` of every row: A-Z lowered, words apart at ASCII white space, 3-word shingles.
+    """``(doc_id, text_hash, fp)``, all long, of every row: A-Z lowered, words apart at ASCII white space, 3-word shingles.
 
     A bit is 1 if over half of the shingles' XXH64 values have it. Texts without a word, and null texts, have
-    fingerprint zero; one or two words are one shingle. Python, as 64 counters per shingle have no built-in form.
+    fingerprint zero; one or two words are one shingle. ``text_hash`` is XXH64 of the text (null: empty). Python, as 64
+    counters per shingle have no built-in form; texts go to it in small batches, one at a time within these.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = documents_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -129,21 +132,24 @@ def group_fingerprints(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row of ``docs``; repeated rows stay repeated."""
+    """``(doc_id, fingerprint, component_id)`` for every row of ``docs``; repeated rows stay repeated, an empty table stays empty."""
     fps = materialize(fingerprints(docs, id_col, text_col))
     groups = group_fingerprints(fps)
     return fps.join(groups, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (with doc_id, text) without all but one row of each near-duplicate group."""
-    fps = materialize(fingerprints(docs))
-    kept = group_fingerprints(fps).select(F.col("keep_id").alias("doc_id"), F.col("keep_fp").alias("_fp")).distinct()
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    """``docs`` (with doc_id, text) without all but one row of each near-duplicate group.
 
-    marked = docs.withColumn("_fp", of(F.coalesce("text", F.lit(""))))
-    marked = marked.join(kept.withColumnsRenamed({"doc_id": "_id", "_fp": "_keep"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_keep")), "left_semi")
-    return marked.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    The row of the smallest id stays (null ids last); of different texts with that id the one of the smaller
+    fingerprint, then text hash. Equal rows count as one, null texts as empty, and no column of ``docs`` can clash: its columns
+    travel in a struct. Which texts stay is decided from the written fingerprints; texts are hashed once more and
+    shuffled once.
+    """
+    fps = materialize(fingerprints(docs))
+    kept = group_fingerprints(fps).select(F.col("keep_id").alias("id"), F.col("keep_fp").alias("keep")).distinct()
+    rows = fps.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("keep")), "left_semi")
+    rows = rows.groupBy("doc_id", "fp").agg(F.min("text_hash").alias("text_hash"))
+    key = lambda hash_: [F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("none"), hash_.alias("hash")]
+    own = docs.select(F.struct("*").alias("row"), *key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    return own.join(rows.select(*key(F.col("text_hash"))), ["id", "none", "hash"], "left_semi").dropDuplicates(["id", "none", "hash"]).select("row.*")
