@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,15 +10,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from ledgerloom.llm.common import discard, documents_of, materialize
+from ledgerloom.llm.common import discard, documents_of, materialize, small_batches
 
 #: Strings of LENGTH bytes; a gram of GRAM bytes stands for each, the least of WIDTH neighbours.
 LENGTH, GRAM = 100, 32
 WIDTH = LENGTH - GRAM + 1
-#: Bytes of texts that are hashed together, bytes of a shard, and contexts of a gram beyond which its windows are dealt out one by one.
-BLOCK, SHARD_BYTES, HOT = 1 << 20, 1 << 20, 4096
+#: Bytes on one side of a gram that every window holds at least: HALF of them, or one more on the other side.
+HALF = WIDTH // 2
+#: Bytes of texts that are hashed together, places that are compared at once, and bytes of a shard.
+BLOCK, CHUNK, SHARD_BYTES = 1 << 20, 1 << 16, 1 << 20
+#: Different contexts of a core beyond which it is split by longer cores before its shard is sorted.
+HOT = 1024
+#: Reduced texts of more letters are induced by plain scans, with the same result.
 SCALAR_FROM = 1024
 
 
@@ -214,53 +220,137 @@ def window_minima(h: np.ndarray) -> np.ndarray:
     return join(WIDTH - size)[1] if size < WIDTH else index
 
 
+ANCHORS = "gram long, left int, right int, doc_id long, text_hash long, at int, n int, lead int"
+PLACES = "doc_id long, text_hash long, core long, at int, n int, lead int"
+CONTEXTS = "doc_id long, text_hash long, core long, at int, n int, lead int, size int, key binary, context binary"
+SPANS = "doc_id long, text_hash long, start long, end long"
+
+
+def _mixed(*hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """``gram, doc_id, text_hash, at, n``: windows ``at`` to ``at + n - 1`` of a text select the same gram.
+    """Windows ``at`` to ``at + n - 1`` of a text select the same gram, which starts ``lead`` bytes after ``at``.
 
     Equal windows of LENGTH bytes select equal grams at equal places, so a string that occurs twice has a gram
-    that occurs twice.
+    that occurs twice. ``left`` and ``right`` are hashes of the gram with HALF bytes before it and HALF + 1 behind it; every
+    window holds one of the two.
     """
+    small_batches(docs.sparkSession)
 
-    def blocks(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         block, size = [], 0
-        for row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 1))):
-            data = row[2].encode()
-            if len(data) >= LENGTH:
-                block.append((row[0], row[1], data))
-                size += len(data)
-            if size >= BLOCK:
-                yield block
-                block, size = [], 0
+        for batch in batches:
+            for doc_id, text, text_hash in zip(*(batch.column(i) for i in range(3))):
+                data = text.as_py().encode()
+                if len(data) >= LENGTH:
+                    block.append((doc_id.as_py(), text_hash.as_py(), data))
+                    size += len(data)
+                if size >= BLOCK:
+                    yield block
+                    block, size = [], 0
         if block:
             yield block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            sizes = np.array([len(x[2]) for x in block])
+            first = np.cumsum(sizes) - sizes
+            h = gram_hashes(np.frombuffer(b"".join(x[2] for x in block), np.uint8))
+            chosen = window_minima(h)
+            doc = np.repeat(np.arange(len(block)), sizes)[: len(chosen)]
+            place = np.arange(len(chosen)) - first[doc]
+            inside = place <= sizes[doc] - LENGTH
+            new = inside.copy()
+            new[1:] &= (chosen[1:] != chosen[:-1]) | ~inside[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False))
+            owner, gram = doc[starts], chosen[starts]
+            # Places beyond the block's ends belong to no window, so what is hashed for them does not matter.
+            near = lambda k: h[np.clip(gram + k, 0, len(h) - 1)]  # noqa: E731,B023
+            left, right = _mixed(near(-HALF), near(-HALF + GRAM), near(0)), _mixed(near(0), near(GRAM), near(HALF + 1))
+            columns = [
+                pa.array(h[gram].view(np.int64)), pa.array(left), pa.array(right), pa.array([x[0] for x in block], pa.int64()).take(pa.array(owner)), pa.array([x[1] for x in block], pa.int64()).take(pa.array(owner)),
+                pa.array(place[starts].astype(np.int32)), pa.array((ends - starts + 1).astype(np.int32)), pa.array((gram - starts).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ANCHORS.split(", ")])
+
+    return docs.mapInArrow(run, ANCHORS)
+
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.zeros(len(keys), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def repeated_places(found: DataFrame) -> DataFrame:
+    """The windows of :func:`anchors` whose longer half, the gram with its left or right neighbours, may occur again.
+
+    Only a filter, so places may be kept in vain, but none that matters is dropped. Places are dealt out in order of
+    their grams, those of a frequent gram over several tasks, and read as a sorted stream. A gram at the edge of a
+    task, and one with over CHUNK places there, keeps all its places, since the others are not in sight.
+    """
+
+    def kept(t: pa.Table, edges: set[int]) -> pa.RecordBatch | None:
+        gram, left, right, at, n, lead = (t.column(c).to_numpy() for c in ("gram", "left", "right", "at", "n", "lead"))
+        same = gram[1:] == gram[:-1]
+        again = np.append(False, same) | np.append(same, False)
+        edge = np.isin(gram, np.fromiter(edges, np.int64))
+        halves = []
+        for own, has in ((left, lead >= HALF), (right, lead - n + 1 < HALF)):
+            good = np.flatnonzero(again & has)
+            ok = edge & has
+            key = gram[good].view(np.uint64) ^ (own[good].view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            ok[good[_repeated(key)]] = True
+            halves.append(ok)
+        some = np.flatnonzero(halves[0] | halves[1])
+        if not len(some):
+            return None
+        in_left, in_right = halves[0][some], halves[1][some]
+        skip = np.where(in_left, 0, np.maximum(0, lead[some] - HALF + 1))
+        stop = np.where(in_right, n[some], np.minimum(n[some], lead[some] - HALF + 1))
+        own = t.take(pa.array(some))
+        columns = [own.column("doc_id").combine_chunks(), own.column("text_hash").combine_chunks(), own.column("gram").combine_chunks(), *(pa.array(x.astype(np.int32)) for x in (at[some] + skip, stop - skip, lead[some] - skip))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PLACES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, edges = [], 0, set()
         for batch in batches:
-            for block in blocks(batch):
-                sizes = np.array([len(x[2]) for x in block])
-                first = np.cumsum(sizes) - sizes
-                h = gram_hashes(np.frombuffer(b"".join(x[2] for x in block), np.uint8))
-                chosen = window_minima(h)
-                doc = np.repeat(np.arange(len(block)), sizes)[: len(chosen)]
-                place = np.arange(len(chosen)) - first[doc]
-                inside = place <= sizes[doc] - LENGTH
-                new = inside.copy()
-                new[1:] &= (chosen[1:] != chosen[:-1]) | ~inside[:-1]
-                starts = np.flatnonzero(new)
-                ends = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False))
-                owner = doc[starts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[chosen[starts]].view(np.int64)),
-                        pa.array([x[0] for x in block], pa.int64()).take(pa.array(owner)),
-                        pa.array([x[1] for x in block], pa.int64()).take(pa.array(owner)),
-                        pa.array(place[starts].astype(np.int32)),
-                        pa.array((ends - starts + 1).astype(np.int32)),
-                    ],
-                    ["gram", "doc_id", "text_hash", "at", "n"],
-                )
-
-    return docs.mapInArrow(run, "gram long, doc_id long, text_hash long, at int, n int")
+            if not batch.num_rows:
+                continue
+            if not edges:
+                edges.add(batch.column(0)[0].as_py())
+            held.append(batch)
+            size += batch.num_rows
+            if size < CHUNK:
+                continue
+            table = pa.Table.from_batches(held)
+            gram = table.column("gram").to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1]))
+            if not whole:
+                edges.add(int(gram[-1]))
+                whole = len(gram)
+            if (out := kept(table.slice(0, whole), edges)) is not None:
+                yield out
+            held = table.slice(whole).to_batches()
+            size = len(gram) - whole
+        if size:
+            table = pa.Table.from_batches(held)
+            edges.add(table.column("gram")[-1].as_py())
+            if (out := kept(table, edges)) is not None:
+                yield out
+
+    return found.repartitionByRange("gram", "doc_id", "at").sortWithinPartitions("gram").mapInArrow(run, PLACES)
 
 
 def _same_document() -> Column:
@@ -272,25 +362,47 @@ def _renamed(df: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` with the bytes their windows cover and these bytes' 128-bit key."""
-    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "at", "n")).alias("own"))
+    """``places`` with the bytes their windows cover and these bytes' 128-bit key. The core of a place is its gram."""
+    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("core", "at", "n", "lead")).alias("own"))
     joined = docs.dropDuplicates(["doc_id", "text_hash"]).join(_renamed(lists), _same_document()).select("doc_id", "text_hash", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                data = part.column(2)[0].as_py().encode()
-                own = part.column(3).flatten()
-                gram, at, n = (own.field(k) for k in range(3))
+                data = batch.column(2)[row].as_py().encode()
+                core, at, n, lead = (batch.column(3)[row].values.field(k) for k in range(4))
                 cut = [data[a : a + b + LENGTH - 1] for a, b in zip(at.to_pylist(), n.to_pylist())]
-                take = pa.array(np.zeros(len(cut), np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), gram, at, n, pa.array([xxh3_128_digest(c) for c in cut], pa.binary()), pa.array(cut, pa.binary())], ["doc_id", "text_hash", "gram", "at", "n", "key", "context"])
+                take = pa.array(np.full(len(cut), row, np.int64))
+                size = pa.array(np.full(len(cut), GRAM, np.int32))
+                columns = [batch.column(0).take(take), batch.column(1).take(take), core, at, n, lead, size, pa.array([xxh3_128_digest(c) for c in cut], pa.binary()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CONTEXTS.split(", ")])
 
-    return joined.mapInArrow(run, "doc_id long, text_hash long, gram long, at int, n int, key binary, context binary")
+    return joined.mapInArrow(run, CONTEXTS)
 
 
-SPANS = "doc_id long, text_hash long, start long, end long"
+def longer_cores(spread: DataFrame) -> DataFrame:
+    """Every context in two, by the side on which its windows reach further beyond the core, with cores longer by that side's bytes.
+
+    Equal windows keep equal cores. After seven steps at most a core is a whole window.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in CONTEXTS.split(", ")]
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                rest, lead, n, c = LENGTH - row["size"], row["lead"], row["n"], bytes(row["context"])
+                half = (rest + 1) // 2
+                skip = max(0, lead - half + 1)
+                parts = [(0, min(n, skip), lead - half, row["size"] + half), (skip, n, lead - skip, row["size"] + rest - half + 1)] if rest else [(0, n, lead, LENGTH)]
+                for a, b, first, size in parts:
+                    if b > a:
+                        own = c[a : b + LENGTH - 1]
+                        out.append(row | {"at": row["at"] + a, "n": b - a, "lead": first, "size": size, "core": xxh3_64_intdigest(own[first : first + size]) - (1 << 63), "key": xxh3_128_digest(own), "context": own})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([(x, batch.schema.field(x).type) for x in names]))
+
+    return spread.select(*[x.split()[0] for x in CONTEXTS.split(", ")]).mapInArrow(run, CONTEXTS)
 
 
 def _sorted_shard(shard: pd.DataFrame) -> pd.DataFrame:
@@ -310,43 +422,49 @@ def _sorted_shard(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": shard["doc_id"].iloc[rows].astype("Int64").to_numpy(dtype=object, na_value=None), "text_hash": shard["text_hash"].iloc[rows].to_numpy(), "start": np.concatenate(starts) if starts else none, "end": np.concatenate(ends) if ends else none})
 
 
-def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            n, c = row["n"], row["context"]
-            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]] * n, pa.int64()), pa.array([row["text_hash"]] * n, pa.int64()), pa.array(range(row["at"], row["at"] + n), pa.int64()), pa.array([xxh3_128_digest(c[i : i + LENGTH]) for i in range(n)], pa.binary())], ["doc_id", "text_hash", "start", "key"])
-
+def repeated_spans(docs: DataFrame) -> list[DataFrame]:
+    """Written tables ``doc_id, text_hash, start, end``: bytes of ``docs(doc_id, text, text_hash)`` in strings that start earlier too.
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, start, end``: bytes of ``docs(doc_id, text, text_hash)`` in strings that start earlier too.
-
-    Grams that occur once are dropped. Places whose whole context is equal are one before anything is sorted:
-    all but the first are repeated throughout. Different contexts of a gram go to one shard, whose suffix
-    array and permuted common prefixes give the classes of equal windows. A gram with over ``HOT`` different
-    contexts has its windows dealt out by their own key instead, so no shard grows with a hot string.
+    Places whose longer half occurs once are dropped. Places whose whole context is equal are one before anything is
+    sorted: all but the first are repeated throughout. Different contexts of a core go to one shard, whose suffix
+    array and permuted common prefixes give the classes of equal windows. The contexts of a core that has over ``HOT``
+    of them are split by longer cores and take their turn again, so no shard grows with a hot string.
     """
     found = materialize(anchors(docs))
-    again = found.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    places = materialize(found.join(again, "gram", "left_semi"))
+    places = materialize(repeated_places(found))
     discard(found)
     spread = materialize(contexts(docs, places))
     discard(places)
     place = F.struct("doc_id", "text_hash", "at")
-    first = materialize(spread.groupBy("key").agg(F.min("gram").alias("gram"), F.min(place).alias("first"), F.count("*").alias("n_places")))
-    span = lambda df: df.select("doc_id", "text_hash", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n") + LENGTH - 1).cast("long").alias("end"))
-    many = first.where("n_places > 1").select("key", "first")
-    copies = span(spread.drop("context").join(many, "key").where(place > F.col("first")))
-    shared = first.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1")
-    chosen = first.join(shared, "gram").select("key", "first", "n_contexts")
-    unlike = materialize(spread.join(chosen, "key").where(place == F.col("first")).drop("first", "key"))
-    cold = unlike.where(F.col("n_contexts") <= HOT)
-    n_shards = max(1, -(-(cold.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES))
-    shards = cold.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(n_shards))).select("shard", "doc_id", "text_hash", "at", "context")
-    sorted_ = shards.groupBy("shard").applyInPandas(_sorted_shard, SPANS)
-    windows = unlike.where(F.col("n_contexts") > HOT).select("doc_id", "text_hash", "at", "n", "context").mapInArrow(_each_window, "doc_id long, text_hash long, start long, key binary")
-    where = F.struct("doc_id", "text_hash", "start")
-    hot = windows.join(windows.groupBy("key").agg(F.min(where).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "key").where(where > F.col("first"))
-    return copies.unionByName(sorted_).unionByName(hot.select("doc_id", "text_hash", "start", (F.col("start") + LENGTH).alias("end")))
+    out = []
+    while True:
+        first = materialize(spread.groupBy("key").agg(F.min("core").alias("core"), F.min(place).alias("first"), F.count("*").alias("n_places")))
+        many = first.where("n_places > 1").select("key", "first")
+        copies = spread.drop("context").join(many, "key").where(place > F.col("first"))
+        out.append(materialize(copies.select("doc_id", "text_hash", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n") + LENGTH - 1).cast("long").alias("end"))))
+        shared = materialize(first.groupBy("core").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
+        chosen = first.join(shared, "core").select("key", "first", "n_contexts")
+        unlike = materialize(spread.join(chosen, "key").where(place == F.col("first")).drop("first", "key"))
+        for done in (spread, first, shared):
+            discard(done)
+        cold = unlike.where(F.col("n_contexts") <= HOT)
+        n_shards = max(1, -(-(cold.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES))
+        shards = cold.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(n_shards))).select("shard", "doc_id", "text_hash", "at", "context")
+        out.append(materialize(shards.groupBy("shard").applyInPandas(_sorted_shard, SPANS)))
+        hot = unlike.where(F.col("n_contexts") > HOT)
+        if hot.isEmpty():
+            discard(unlike)
+            return out
+        spread = materialize(longer_cores(hot.withColumn("key", F.lit(b""))))
+        discard(unlike)
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of runs, as apart runs in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.append(True, starts[1:] > reach[:-1])) if len(starts) else np.empty(0, np.int64)
+    return starts[new], reach[np.append(new[1:] - 1, len(reach) - 1)] if len(new) else reach
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,30 +472,29 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A byte goes if a LENGTH-byte string that covers it starts earlier too: in a smaller doc_id (nulls first, then
     by text hash), or further up in the same text. Matches stay within texts; null texts are empty. Rows
-    equal in id and text are one document: each loses the same bytes and neither is earlier.
+    equal in id and text are one document: each loses the same bytes and neither is earlier. An empty table gives an
+    empty one; other columns of ``docs`` are not read.
     """
     rows = documents_of(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    spans = materialize(repeated_spans(rows))
+    spans = functools.reduce(DataFrame.unionByName, repeated_spans(rows))
     lists = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(_renamed(lists), _same_document(), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sizes, merged, kept = [], [], []
-                for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    data, runs = text.encode(), []
-                    for s in sorted(own or (), key=lambda s: s["start"]):
-                        if runs and s["start"] <= runs[-1]["end"]:
-                            runs[-1]["end"] = max(runs[-1]["end"], s["end"])
-                        else:
-                            runs.append(dict(s))
-                    edges = [0, *[e for r in runs for e in (r["start"], r["end"])], len(data)]
-                    sizes.append(len(data))
-                    merged.append(runs)
-                    kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            sizes, firsts, lasts, counts, kept = [], [], [], [0], []
+            for text, own in zip(batch.column(1), batch.column(2)):
+                data = text.as_py().encode()
+                sizes.append(len(data))
+                a = b = np.empty(0, np.int64)
+                if own.is_valid:
+                    a, b = merged(*(own.values.field(k).to_numpy() for k in range(2)))
+                edges = [0, *np.column_stack((a, b)).ravel().tolist(), len(data)]
+                kept.append(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2])) if len(a) else data)
+                firsts.append(a)
+                lasts.append(b)
+                counts.append(counts[-1] + len(a))
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (firsts, lasts)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), runs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
