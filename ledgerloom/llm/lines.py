@@ -165,7 +165,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are neither counted nor deleted. Null texts become empty; an empty table gives an empty one. Rows equal in id and
     text are one document: each loses the same lines and neither is earlier. Null ids come first. Other columns are
     kept and may have any name, as they travel in a struct; input columns ``n_lines`` and ``n_removed`` are replaced.
-    Texts are joined once to their runs by id and text hash; a document without runs keeps its text byte for byte.
+    Texts are joined once to their runs by id and text hash, by a sort-merge join at every size, as the runs grow with the
+    input; a document without runs keeps its text byte for byte.
     """
     small_batches(docs.sparkSession)
     hashed = materialize(line_hashes(docs, id_col, text_col))
@@ -176,7 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     others = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None).cast("struct<none:int>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), others.alias("rest"))
-    joined = rows.withColumn("hash", F.xxhash64("text")).join(runs, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    joined = rows.withColumn("hash", F.xxhash64("text")).join(runs.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
