@@ -5,24 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names and read back, so that lineage stays short."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; without that, on one machine only, in a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or "cluster" in master:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.conf.get("spark.app.id")
         base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="ledgerloom-")
-    path = f"{base.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a path of :func:`scratch` and read back, so that lineage stays short and nothing is computed twice."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.7, least: float = 0.4) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators.graph import scratch
 from ledgerloom.operators.relational import first_by
 from ledgerloom.plans.registry import query, table
+from ledgerloom.sources import orm as O
 from ledgerloom.sources import text as S
+from ledgerloom.sources import vectors as V
 
 
 def _lines_of(spark, sf_dir, line):
@@ -200,3 +203,60 @@ def document_reading(spark, sf_dir):
     user, own = F.col("role") == "user", F.col("role") == "assistant"
     rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count_if(user).alias("wanted"), F.count_if(own).alias("asked"), F.count_distinct(F.when(user & (F.length("text") < 500), F.col("turn"))).alias("hit"), F.count_distinct(F.when(own, F.floor(F.col("turn") / 2))).alias("sections"))
     return rows.select("doc_id", F.round(F.col("hit") / F.greatest("wanted", F.lit(1)), 6).alias("recall"), F.round(F.col("hit") / F.greatest("asked", F.lit(1)), 6).alias("question_precision"), "sections")
+
+
+@query("""SELECT n_regionkey AS region, 'nat_' || n_nationkey AS "table", c AS "column", CASE c WHEN 'id' THEN 'Int' WHEN 'full_name' THEN 'String' ELSE 'DateTime' END AS type, c = 'at' AS nullable, c = 'id' AS primary_key FROM nation, (VALUES ('id'), ('full_name'), ('at')) v(c)
+ UNION ALL SELECT n_regionkey, 'Side' || n_nationkey, 'key', 'BigInt', false, true FROM nation""")
+def prisma_models(spark, sf_dir):
+    key = F.col("n_nationkey").cast("string")
+    model = F.concat(
+        F.lit("model Nation"), key, F.lit(' {\n  id Int @id @default(autoincrement())\n  name String @map("full_name")\n  at DateTime?\n  sides Side[]\n  region Region @relation(fields: [id])\n  // note\n  @@map("nat_'), key,
+        F.lit('")\n}\n\nmodel Side'), key, F.lit(" {\n  key BigInt @id\n}\n"),
+    )
+    files = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.collect_list(model), "\n").alias("t"))
+    return files.select("region", F.explode(O.prisma_columns(F.col("t"))).alias("c")).select("region", "c.*")
+
+
+@query("""SELECT n_nationkey AS file, CASE WHEN n_nationkey % 2 = 0 THEN 't' || n_nationkey ELSE 'Nation' || n_nationkey END AS "table", c AS "column", CASE c WHEN 'id' THEN 'Long' WHEN 'full_name' THEN 'String' ELSE 'Region' END AS type, c = 'region_id' AS nullable, c = 'id' AS primary_key FROM nation, (VALUES ('id'), ('full_name'), ('region_id')) v(c) WHERE n_nationkey % 3 <> 0""")
+def jpa_entities(spark, sf_dir):
+    key = F.col("n_nationkey").cast("string")
+    source = F.concat(
+        F.when(F.col("n_nationkey") % 3 == 0, F.lit("")).otherwise(F.lit("@Entity\n")), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('@Table(schema = "s", name = "t'), key, F.lit('")\n'))).otherwise(F.lit("")), F.lit("public class Nation"), key,
+        F.lit(' {\n  @Id\n  @GeneratedValue(strategy = X)\n  private Long id;\n  @Column(name = "full_name", nullable = false)\n  private String name = "";\n  @ManyToOne\n  @JoinColumn(name = "region_id")\n  protected Region region;\n  @OneToMany(mappedBy = "n")\n  private List<City> cities;\n  @Transient\n  private int seen;\n}\n'),
+    )
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), source.alias("t"))
+    return files.select("file", F.explode(O.jpa_columns(F.col("t"))).alias("c")).select("file", "c.*")
+
+
+@query("""SELECT n_regionkey AS region, 'E' || n_nationkey AS entity, CASE WHEN n_nationkey % 2 = 0 THEN 'tbl_' || n_nationkey ELSE 'Es' || n_nationkey END AS "table" FROM nation""")
+def ef_sets(spark, sf_dir):
+    key = F.col("n_nationkey").cast("string")
+    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(
+        F.array_join(F.collect_list(F.concat(F.lit("public DbSet<E"), key, F.lit("> Es"), key, F.lit(" { get; set; }"))), "\n").alias("sets"),
+        F.array_join(F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("b.Entity<E"), key, F.lit('>()\n  .HasKey(x => x.Id)\n  .ToTable("tbl_'), key, F.lit('");')))), "\n").alias("fluent"),
+    )
+    return rows.select("region", F.explode(O.ef_tables(F.concat_ws("\n", "sets", "fluent"))).alias("c")).select("region", "c.*")
+
+
+@query("SELECT DISTINCT table_name AS \"table\", column_name AS \"column\", ordinal_position::INTEGER AS place FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')")
+def catalog_columns(spark, sf_dir):
+    """What a catalog lists of its tables: columns in order, read from the schemas alone."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    listed = [(n, c, k) for n in names for k, c in enumerate(table(spark, sf_dir, n).columns, 1)]
+    return spark.createDataFrame(listed, "table string, column string, place int")
+
+
+@query("SELECT vec_id AS id, len(embedding)::INTEGER AS size, label = 3 AS renewed FROM embeddings")
+def vector_swap(spark, sf_dir):
+    """A second generation takes the first one's place at once; a third that is not valid changes nothing."""
+    store = V.VectorTable(spark, scratch(spark))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    store.write(rows.limit(3), 1, "old", 64)
+    old = rows.withColumn("at", F.lit(0)).drop("label")
+    new = rows.where("label = 3").select("id", F.transform("vector", lambda x: (x * 0).cast("float")).alias("vector"), F.lit(1).alias("at"))
+    store.write(old.unionByName(new), 2, "new", 64)
+    try:
+        store.write(rows.select("id", F.slice("vector", 1, 8).alias("vector")), 3, "short", 64)
+    except ValueError:
+        pass
+    return store.read().select("id", F.size("vector").alias("size"), F.forall("vector", lambda x: x == 0).alias("renewed"))

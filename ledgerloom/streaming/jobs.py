@@ -51,10 +51,13 @@ def upsert_days(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def cooldown_alerts(events: DataFrame, above: float = 80.0, cooldown_s: int = 12 * 3600) -> DataFrame:
-    """Alerts at least ``cooldown_s`` after the user's last fired one; the state is one time per user."""
+def cooldown_alerts(events: DataFrame, above: float = 80.0, cooldown_s: int = 12 * 3600, late: str = "1 hour") -> DataFrame:
+    """Alerts at least ``cooldown_s`` after the user's last fired one; the state is one time per user, dropped once it can block nothing."""
 
     def fire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else -(1 << 62)
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         kept = []
@@ -62,7 +65,8 @@ def cooldown_alerts(events: DataFrame, above: float = 80.0, cooldown_s: int = 12
             kept.append(at - last >= cooldown_s)
             last = at if kept[-1] else last
         state.update((int(last),))
+        state.setTimeoutTimestamp(max((int(last) + cooldown_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[kept, ["user_id", "event_id"]]
 
-    hot = events.where(F.col("value") > above).select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
-    return hot.groupBy("user_id").applyInPandasWithState(fire, "user_id long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    hot = events.withWatermark("ts", late).where(F.col("value") > above).select("user_id", "event_id", "ts", F.unix_timestamp("ts").alias("at"))
+    return hot.groupBy("user_id").applyInPandasWithState(fire, "user_id long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
