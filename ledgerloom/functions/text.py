@@ -158,15 +158,19 @@ def annotate_hidden(text: Column) -> Column:
     return text
 
 
+#: Patterns and what they become, in order: headings, emphasis, links, list items, breaks, other tags, entities (``&amp;`` last).
+MARKDOWN = (
+    (r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), *((rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?i)</?(b|strong)(\s[^>]*)?>", "**"), (r"(?i)</?(i|em)(\s[^>]*)?>", "_"), (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"[$2]($1)"), (r"(?i)<li[^>]*>", "\n- "), (r"(?i)<br[^>]*>|</(p|div|h[1-6]|ul|ol|tr)>", "\n"), (r"<[^>]*>", ""),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+)
+
+
 def html_to_markdown(html: Column) -> Column:
     """Headings, emphasis, links, list items and breaks; other tags go, entities last and ``&amp;`` after all others."""
-    rules = [(r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", "")]
-    rules += [(rf"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)]
-    rules += [(r"(?i)</?(b|strong)(\s[^>]*)?>", "**"), (r"(?i)</?(i|em)(\s[^>]*)?>", "_"), (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', r"[$2]($1)"), (r"(?i)<li[^>]*>", "\n- "), (r"(?i)<br[^>]*>|</(p|div|h[1-6]|ul|ol|tr)>", "\n"), (r"<[^>]*>", "")]
-    rules += [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\n{3,}", "\n\n")]
-    for pattern, to in rules:
+    for pattern, to in MARKDOWN:
         html = F.regexp_replace(html, pattern, to)
-    return F.regexp_replace(html, r"^\s+|\s+$", "")
+    return html
 
 
 def clean_pdf(text: Column) -> Column:

@@ -215,7 +215,15 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.trim(html), 256).alias("digest"))
 
 
-@query()
+def _markdown_sql() -> str:
+    sql = "html"
+    for pattern, to in X.MARKDOWN:
+        to = re.sub(r"\$(\d)", r"\\\1", to)
+        sql = "regexp_replace({}, '{}', '{}', 'g')".format(sql, *(x.replace("'", "''") for x in (pattern, to)))
+    return sql
+
+
+@query(f"SELECT page_id, {_markdown_sql()} AS markdown FROM pages")
 def html_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_to_markdown(F.col("html")).alias("markdown"))
 
