@@ -259,3 +259,30 @@ def hash_embedding(text: Column, size: int, model: str) -> Column:
     values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128)
     length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(values, lambda x: x / F.when(length == 0, 1.0).otherwise(length))
+
+
+def code_fence(text: Column) -> Column:
+    """Back quotes, one more than the longest run in the text and three at least."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), lambda x: F.length(x)))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(longest, F.lit(0)) + 1))
+
+
+def escape_markdown(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\`*_{}\[\]()#+!|<>-])", r"\\$1")
+
+
+def markdown_row(*cells: Column) -> Column:
+    """One line of a table: cells in a line each, bars escaped, nulls empty."""
+    flat = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " ") for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *flat), F.lit(" |"))
+
+
+def patch_lines(patch: Column) -> Column:
+    """Distinct added and removed lines of a patch, without its file headers."""
+    return F.array_distinct(F.filter(F.split(patch, "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)")))
+
+
+def json_contains(whole: Column, part: Column) -> Column:
+    """Whether every entry of a flat JSON object is in another one; false where either is malformed."""
+    a, b = (F.from_json(x, "map<string,string>") for x in (whole, part))
+    return F.coalesce(F.forall(F.map_entries(b), lambda e: F.coalesce(F.element_at(a, e["key"]) == e["value"], F.lit(False))), F.lit(False))

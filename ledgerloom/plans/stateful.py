@@ -106,8 +106,11 @@ def budget_reservations(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum(cents).alias("reserved"), F.sum(F.when(F.col("event_type") != "error", cents)).alias("settled"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'superseded' WHEN o_orderkey % 7 = 0 THEN 'source-moved' ELSE 'accepted' END AS outcome FROM orders")
+@query("WITH c AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN coalesce(n, 0) <> o_custkey % 5 + 2 THEN 'superseded' WHEN parts < n OR o_orderstatus = 'P' THEN 'source-moved' ELSE 'accepted' END AS outcome FROM orders LEFT JOIN c ON k = o_orderkey")
 def version_resolution(spark, sf_dir):
-    """A pending version is accepted only if the version the caller expects is current."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 == 0).alias("moved"), (F.col("o_orderkey") * 2 + (F.col("o_orderkey") % 3 == 0).cast("int")).alias("version"))
-    return orders.select("o_orderkey", F.when(F.col("version") != F.col("o_orderkey") * 2, "superseded").when(F.col("moved"), "source-moved").otherwise("accepted").alias("outcome"))
+    """A pending change is accepted only if the version it was made for (here: lines of an order) is the current one and its source stands."""
+    current = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"))
+    pending = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 5 + 2).alias("expected"))
+    moved = (F.col("parts") < F.col("n")) | (F.col("o_orderstatus") == "P")
+    outcome = F.when(F.coalesce("n", F.lit(0)) != F.col("expected"), "superseded").when(moved, "source-moved").otherwise("accepted")
+    return pending.join(current, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", outcome.alias("outcome"))
