@@ -2,6 +2,11 @@
 
 ``STAGES`` lists them; each takes (spark, docs, sf_dir), all but the last return the columns of
 ``documents``, and each works on what the one before kept.
+
+Every stage takes the columns of ``documents`` out of whatever columns there are. Null texts count as empty: the quality rules reject
+them, the other stages handle them as empty texts. Null ids stay null; rows equal in id and text are one document, of which line dedup
+keeps every row and near dedup one. An empty table gives an empty one. Without labels the quality stage has its base rule alone, and
+without benchmark items nothing is dropped for them.
 """
 
 from __future__ import annotations
