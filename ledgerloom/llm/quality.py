@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import WHITESPACE
 
 WINDOW = 5
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _covered(positions: Column) -> Column:
@@ -23,30 +24,32 @@ def _covered(positions: Column) -> Column:
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) of the whole text.
 
-    Null texts count as empty: all zero. All five come from built-in functions over the row; nothing is shuffled.
+    Null texts count as empty: all zero. Repeated rows and null ids stay, an empty table gives an empty one. Input columns
+    of the five names are replaced; others may have any name, as they travel in a struct. All five measures come
+    from built-in functions over the row; nothing is shuffled. Windows are told apart by 64-bit hashes.
     """
-    temporary = ["_text", "_words", "_hashes"]
-    out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("_words", F.array_remove(F.split("_text", WHITESPACE), ""))
-    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    out = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = out.withColumn("words", F.array_remove(F.split("text", WHITESPACE), ""))
+    out = out.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_lines": lines,
-        "_windows": F.when(F.size("_hashes") < WINDOW, F.array().cast("array<bigint>")).otherwise(
-            F.slice(F.transform("_hashes", lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, WINDOW)])), F.lit(1), F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long"),
+        "lines": lines,
+        "windows": F.when(F.size("hashes") < WINDOW, F.array().cast("array<bigint>")).otherwise(
+            F.slice(F.transform("hashes", lambda h, i: F.xxhash64(h, *[F.get("hashes", i + k) for k in range(1, WINDOW)])), F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0)))
         ),
     })
     # Only texts with a repeated window are sorted by hash; equal neighbours are the repeats.
-    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs).otherwise(none))
-    near = lambda x, k: F.coalesce(F.get("_sorted", k).h == x.h, F.lit(False))
-    out = out.withColumn("_again", F.sort_array(F.transform(F.filter("_sorted", lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x.i)))
-    out = out.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": _covered(F.col("_again"))})
-    return out.drop(*temporary, "_lines", "_windows", "_sorted", "_again")
+    out = out.withColumn("sorted", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs).otherwise(none))
+    near = lambda x, k: F.coalesce(F.get("sorted", k).h == x.h, F.lit(False))
+    out = out.withColumn("again", F.sort_array(F.transform(F.filter("sorted", lambda x, k: near(x, k - 1) | near(x, k + 1)), lambda x: x.i)))
+    out = out.withColumns({"n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_repeat_words": _covered(F.col("again"))})
+    return out.select("row.*", *MEASURES)
 
 
 def base_failed() -> Column:
@@ -64,14 +67,16 @@ class Rule:
 
 @dataclass(frozen=True)
 class RiskControl:
-    """Each stratum's false rejection rate over all rules stays at ``risk`` or less with probability ``1 - delta``.
+    """With probability ``1 - delta`` all rules together falsely reject at most ``risk`` of every stratum's good documents.
 
-    The risk is shared among the rules, and delta among every test: rule, cutoff and stratum (Bonferroni).
-    Strata are the listed languages and ``other``; their number is fixed, so the cutoff table is small.
+    The risk is shared among the rules (a union bound), delta among rules and strata (Bonferroni). The cutoffs of a
+    rule are tested in a fixed sequence, from the most lenient on and until the first one fails, so each is tested
+    at the rule's whole share of delta. Without a false rejection 210 good labels of a stratum certify a cutoff. Strata
+    are the listed languages and ``other``; their number is fixed, so the cutoff table is small.
     """
 
-    risk: float = 0.02
-    delta: float = 0.05
+    risk: float = 0.1
+    delta: float = 0.1
     strata: tuple[str, ...] = ("en", "de", "fr", "es")
     rules: tuple[Rule, ...] = field(
         default_factory=lambda: (
@@ -88,7 +93,7 @@ class RiskControl:
 
     @property
     def test_delta(self) -> float:
-        return self.delta / ((len(self.strata) + 1) * sum(len(r.cutoffs) for r in self.rules))
+        return self.delta / ((len(self.strata) + 1) * len(self.rules))
 
 
 def stratum(lang: Column, control: RiskControl) -> Column:
@@ -109,35 +114,51 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, control: RiskControl = RiskControl()) -> DataFrame:
-    """``(stratum, rule, cutoff, n_good, n_rejected, tail)``: the strictest cutoff of each rule that holds.
-
-    ``measured`` has features, ``doc_id`` and ``lang``; the holdout is its rows that a label marks good
-    (quality 1). A cutoff holds if the exact binomial bound on its false rejection rate is within the rule's
-    risk: a rate of that size or more would show so few rejections with probability ``test_delta`` at most.
-    Strata without a cutoff that holds (too few labels) have no row, and the rule rejects none there. Labels are
-    joined once per document id; conflicting labels count as not good.
+    """``(stratum, rule, cutoff, n_good, n_rejected, n_bad, n_caught, tail)``: one certified cutoff of each rule that has any.
+
+    ``measured`` has features, ``doc_id`` and ``lang``; the holdout is its labelled rows, good ones (quality 1) and bad
+    ones. A cutoff passes if the exact binomial bound on its false rejection rate is within the rule's risk: a rate
+    of that size or more would show so few rejections with probability ``test_delta`` at most. It is certified if it
+    and all more lenient ones of its rule pass. Of these the one with the largest share of bad documents caught,
+    less the share of good ones rejected, is taken, and the strictest on ties; if bad labels exist and none is caught
+    at a gain, the rule is not used. Strata without a certified cutoff (too few labels) have no row, and the rule rejects
+    none there. Labels are joined once per document id; null ids and qualities do not count, and conflicting labels
+    of an id count as bad. Empty tables give no cutoff.
     """
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
-    held = measured.join(good, measured.doc_id == good._id).select(stratum(F.col("lang"), control).alias("stratum"), *[F.expr(r.measure).alias(f"m{k}") for k, r in enumerate(control.rules)])
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.count_if(F.col(f"m{k}") > c).alias(f"r{k}_{j}") for k, r in enumerate(control.rules) for j, c in enumerate(r.cutoffs)])
-    tests = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"r{k}_{j}").alias("n_rejected")) for k, r in enumerate(control.rules) for j, c in enumerate(r.cutoffs)])
-    rows = counts.select("stratum", "n_good", F.explode(tests).alias("t")).select("stratum", "n_good", "t.*")
+    own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("good"))
+    seen = measured.select(F.col("doc_id").alias("id"), stratum(F.col("lang"), control).alias("stratum"), *[F.expr(r.measure).alias(f"m{k}") for k, r in enumerate(control.rules)])
+    held = seen.join(own, "id")
+    good = F.col("good") == 1
+    over = [(f"{k}_{j}", F.col(f"m{k}") > c) for k, r in enumerate(control.rules) for j, c in enumerate(r.cutoffs)]
+    counts = held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"), *[F.count_if(good & x).alias(f"r{k}") for k, x in over], *[F.count_if(~good & x).alias(f"b{k}") for k, x in over])
+    tests = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"r{k}_{j}").alias("n_rejected"), F.col(f"b{k}_{j}").alias("n_caught")) for k, r in enumerate(control.rules) for j, c in enumerate(r.cutoffs)])
+    rows = counts.select("stratum", "n_good", "n_bad", F.explode(tests).alias("t")).select("stratum", "n_good", "n_bad", "t.*")
     # Above the expected count the tail is over a half or so, so it need not be summed.
     near = F.col("n_rejected") <= control.rule_risk * F.col("n_good")
     rows = rows.withColumn("tail", F.when(near, binomial_cdf(F.col("n_rejected"), F.col("n_good"), control.rule_risk)).otherwise(F.lit(1.0)))
-    held = rows.where(F.col("tail") <= control.test_delta)
-    return held.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.min_by("n_good", "cutoff").alias("n_good"), F.min_by("n_rejected", "cutoff").alias("n_rejected"), F.min_by("tail", "cutoff").alias("tail"))
+    failed = F.max(F.when(F.col("tail") > control.test_delta, F.col("cutoff"))).over(Window.partitionBy("stratum", "rule"))
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(F.lit(0.0))
+    rows = rows.withColumn("failed", failed).withColumn("gain", share("n_caught", "n_bad") - share("n_rejected", "n_good"))
+    rows = rows.where((F.col("failed").isNull() | (F.col("cutoff") > F.col("failed"))) & ((F.col("n_bad") == 0) | (F.col("gain") > 0)))
+    best = F.max_by(F.struct("cutoff", "n_good", "n_rejected", "n_bad", "n_caught", "tail"), F.struct("gain", -F.col("cutoff")))
+    return rows.groupBy("stratum", "rule").agg(best.alias("best")).select("stratum", "rule", "best.*")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, control: RiskControl = RiskControl()) -> DataFrame:
     """``measured`` with ``base_failed``, ``method_failed`` and ``kept``.
 
-    The cutoff table, of one row per stratum, is broadcast: at most ``len(strata) + 1`` rows.
+    The cutoff table, of one row per stratum, is broadcast: at most ``len(strata) + 1`` rows. A stratum without cutoffs,
+    and so an empty cutoff table, leaves only the base rule. Null languages are of the stratum ``other``. Every row
+    of ``measured`` stays, with all its columns but those of the three names, which are replaced.
     """
-    wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_c{k}") for k, r in enumerate(control.rules)])
-    out = measured.join(F.broadcast(wide), stratum(F.col("lang"), control) == F.col("_stratum"), "left")
-    failed = F.lit(False)
+    added = ("base_failed", "method_failed", "kept")
+    wide = cutoffs.groupBy(F.col("stratum").alias("key")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in measured.columns if c not in added])
+    failed = [F.expr(r.measure).alias(f"m{k}") for k, r in enumerate(control.rules)]
+    rows = measured.select(rest.alias("row"), stratum(F.col("lang"), control).alias("key"), base_failed().alias("base_failed"), *failed)
+    out = rows.join(F.broadcast(wide), "key", "left")
+    method = F.lit(False)
     for k, r in enumerate(control.rules):
-        failed = failed | F.coalesce(F.expr(r.measure) > F.col(f"_c{k}"), F.lit(False))
-    out = out.withColumns({"base_failed": base_failed(), "method_failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("method_failed")).drop("_stratum", *[f"_c{k}" for k in range(len(control.rules))])
+        method = method | F.coalesce(F.col(f"m{k}") > F.element_at("cut", F.lit(r.name)), F.lit(False))
+    out = out.withColumn("method_failed", method)
+    return out.select("row.*", "base_failed", "method_failed", (~F.col("base_failed") & ~F.col("method_failed")).alias("kept"))
