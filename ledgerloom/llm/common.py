@@ -21,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``, or a folder of this machine where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{base.rstrip('/')}/ledgerloom"
