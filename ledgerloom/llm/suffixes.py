@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,7 +223,7 @@ def window_minima(h: np.ndarray) -> np.ndarray:
 
 ANCHORS = "gram long, left int, right int, doc_id long, text_hash long, at int, n int, lead int"
 PLACES = "doc_id long, text_hash long, core long, at int, n int, lead int"
-CONTEXTS = "doc_id long, text_hash long, core long, at int, n int, lead int, size int, key binary, context binary"
+CONTEXTS = "doc_id long, text_hash long, core long, at int, n int, lead int, size int, n_contexts long, key binary, context binary"
 SPANS = "doc_id long, text_hash long, start long, end long"
 
 
@@ -361,21 +362,25 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
 
 
-def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` with the bytes their windows cover and these bytes' 128-bit key. The core of a place is its gram."""
-    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("core", "at", "n", "lead")).alias("own"))
+def contexts(docs: DataFrame, places: DataFrame, whole: bool) -> DataFrame:
+    """``places`` with the 128-bit key of the bytes that their windows cover, and, if ``whole``, these bytes themselves.
+
+    The core of a place is its gram. Texts meet their places once; a key is a fifth of what the bytes need.
+    """
+    lists = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("core", "at", "n", "lead", "n_contexts")).alias("own"))
     joined = docs.dropDuplicates(["doc_id", "text_hash"]).join(_renamed(lists), _same_document()).select("doc_id", "text_hash", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 data = batch.column(2)[row].as_py().encode()
-                core, at, n, lead = (batch.column(3)[row].values.field(k) for k in range(4))
+                core, at, n, lead, n_contexts = (batch.column(3)[row].values.field(k) for k in range(5))
                 cut = [data[a : a + b + LENGTH - 1] for a, b in zip(at.to_pylist(), n.to_pylist())]
                 take = pa.array(np.full(len(cut), row, np.int64))
                 size = pa.array(np.full(len(cut), GRAM, np.int32))
-                columns = [batch.column(0).take(take), batch.column(1).take(take), core, at, n, lead, size, pa.array([xxh3_128_digest(c) for c in cut], pa.binary()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CONTEXTS.split(", ")])
+                keys = pa.nulls(len(cut), pa.binary()) if whole else pa.array([xxh3_128_digest(c) for c in cut], pa.binary())
+                found = pa.array(cut, pa.binary()) if whole else pa.nulls(len(cut), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), core, at, n, lead, size, n_contexts, keys, found], [x.split()[0] for x in CONTEXTS.split(", ")])
 
     return joined.mapInArrow(run, CONTEXTS)
 
@@ -402,7 +407,7 @@ def longer_cores(spread: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([(x, batch.schema.field(x).type) for x in names]))
 
-    return spread.select(*[x.split()[0] for x in CONTEXTS.split(", ")]).mapInArrow(run, CONTEXTS)
+    return spread.mapInArrow(run, CONTEXTS)
 
 
 def _sorted_shard(shard: pd.DataFrame) -> pd.DataFrame:
@@ -426,27 +431,31 @@ def repeated_spans(docs: DataFrame) -> list[DataFrame]:
     """Written tables ``doc_id, text_hash, start, end``: bytes of ``docs(doc_id, text, text_hash)`` in strings that start earlier too.
 
     Places whose longer half occurs once are dropped. Places whose whole context is equal are one before anything is
-    sorted: all but the first are repeated throughout. Different contexts of a core go to one shard, whose suffix
-    array and permuted common prefixes give the classes of equal windows. The contexts of a core that has over ``HOT``
-    of them are split by longer cores and take their turn again, so no shard grows with a hot string.
+    sorted: all but the first are repeated throughout; their keys tell, and only what is left is read from the texts
+    again. Different contexts of a core go to one shard, whose suffix array and permuted common prefixes give the classes
+    of equal windows. The contexts of a core that has over ``HOT`` of them are split by longer cores and take their turn
+    again, so no shard grows with a hot string.
     """
     found = materialize(anchors(docs))
     places = materialize(repeated_places(found))
     discard(found)
-    spread = materialize(contexts(docs, places))
+    spread = materialize(contexts(docs, places.withColumn("n_contexts", F.lit(0).cast("long")), False))
     discard(places)
     place = F.struct("doc_id", "text_hash", "at")
-    out = []
-    while True:
+    out, names = [], [x.split()[0] for x in CONTEXTS.split(", ")]
+    for level in itertools.count():
         first = materialize(spread.groupBy("key").agg(F.min("core").alias("core"), F.min(place).alias("first"), F.count("*").alias("n_places")))
         many = first.where("n_places > 1").select("key", "first")
         copies = spread.drop("context").join(many, "key").where(place > F.col("first"))
         out.append(materialize(copies.select("doc_id", "text_hash", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("n") + LENGTH - 1).cast("long").alias("end"))))
         shared = materialize(first.groupBy("core").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
         chosen = first.join(shared, "core").select("key", "first", "n_contexts")
-        unlike = materialize(spread.join(chosen, "key").where(place == F.col("first")).drop("first", "key"))
+        unlike = materialize(spread.drop("n_contexts").join(chosen, "key").where(place == F.col("first")).select(*names))
         for done in (spread, first, shared):
             discard(done)
+        if not level:
+            unlike, few = materialize(contexts(docs, unlike, True)), unlike
+            discard(few)
         cold = unlike.where(F.col("n_contexts") <= HOT)
         n_shards = max(1, -(-(cold.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES))
         shards = cold.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(n_shards))).select("shard", "doc_id", "text_hash", "at", "context")
@@ -455,7 +464,7 @@ def repeated_spans(docs: DataFrame) -> list[DataFrame]:
         if hot.isEmpty():
             discard(unlike)
             return out
-        spread = materialize(longer_cores(hot.withColumn("key", F.lit(b""))))
+        spread = materialize(longer_cores(hot))
         discard(unlike)
 
 
