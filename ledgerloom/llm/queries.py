@@ -36,11 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/ID.txt``; one of 40 words or less is its directory's licence file, if it states one."""
+    """Documents as files ``source/lang/ID.txt``; one that is mostly a licence is its directory's licence file."""
     docs = _table(spark, sf_dir, "documents")
     files = docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    short = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+", 42)) <= 40
-    return licenses.scan(files, "doc_id", "path", "text", short)
+    return licenses.scan(files, "doc_id", "path", "text")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
