@@ -40,20 +40,24 @@ TEXT_LETTERS = tuple(0.8 * n / sum(LETTERS.values()) + 0.2 / 26 for n in LETTERS
 VOWELS, VOWEL_AFTER = "aeiou", (0.48, 0.18)
 #: Padding ends a token; any other "=" stands between a name and its value and belongs to neither.
 PADDING = "(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+#: Matches whose places are summed at once; changes no result.
 CHUNK = 256
 
 
 @dataclass(frozen=True)
 class Battery:
-    """Limits of the tests. ``text_changes`` is the rate of changes between character classes in ordinary text."""
+    """Limits of the tests. ``text_changes`` is the rate of changes between character classes in ordinary text.
+
+    ``random_p``: the combined p-value of the three tests below which a token is not taken for random.
+    """
 
     min_length: int = 20
     text_changes: float = 0.12
-    uniform_z: float = 3.1
-    serial_z: float = 3.3
+    random_p: float = 0.001
     false_discovery: float = 0.01
     length_edges: tuple[int, ...] = (32, 48, 64)
-    #: p-values are counted by steps of a tenth of a decade, rounded up, down to this many steps.
+    #: p-values are counted by steps of a tenth of a decade, rounded up, down to this many steps; smaller ones count as 1e-100,
+    #: which is below any threshold that the number of tokens could ask for, so no result changes by it.
     most_steps: int = 1000
 
 
@@ -97,15 +101,32 @@ def encoding(token: Column) -> Column:
     return out
 
 
+def upper_tail(z: Column) -> Column:
+    """P(Z > z) of a normal variable, to seven digits (the rational approximation of Abramowitz and Stegun, 26.2.17)."""
+    u = F.abs(z)
+    t = 1 / (1 + 0.2316419 * u)
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-u * u / 2) / math.sqrt(2 * math.pi) * series
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def combined(*p: Column) -> Column:
+    """Cauchy's combination of p-values, which holds for dependent tests too."""
+    sure = [F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12)) for x in p]
+    mean = sum((F.tan((0.5 - x) * math.pi) for x in sure), F.lit(0.0)) / len(p)
+    return 0.5 - F.atan(mean) / math.pi
+
+
 def battery(token: Column, battery_: Battery) -> Column:
     """The p-value that ordinary text has such a token, as steps of a tenth of a decade (0: no evidence).
 
-    Uniform letters of the inferred encoding must be plausible first: chi-squared over its alphabet (Wilson
-    and Hilferty's normal form) and the serial correlation of neighbouring code values. The evidence is then the
-    likelihood of uniform code values against that of ordinary text, in which a character changes between lower
-    case, upper case and digits at a low rate, letters are as frequent as in ``TEXT_LETTERS`` and vowels follow as in
-    ``VOWEL_AFTER``. Its inverse bounds the chance under that text model (Markov); the choice among encodings is
-    paid for by their number.
+    Three tests over the code values of the inferred encoding ask whether the token can be random: chi-squared over
+    the alphabet (Wilson and Hilferty's normal form), the runs above and below the alphabet's middle, and the serial
+    correlation of neighbours. Their p-values are combined; a token below ``random_p`` gets no evidence. For the rest the
+    same three traits are weighed against ordinary text, each as a likelihood ratio: how often each letter occurs
+    (``TEXT_LETTERS``), the runs of lower case, upper case and digits, which in text change at a low rate, and the order of
+    neighbours (``VOWEL_AFTER``). The inverse of their product bounds the chance under that text model (Markov); the
+    choice among encodings is paid for by their number.
     """
     body = F.rtrim(token, F.lit("="))
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
@@ -125,15 +146,16 @@ def battery(token: Column, battery_: Battery) -> Column:
         return out
 
     def sums(x: Column) -> Column:
-        start = F.struct(*[F.lit(0.0).alias(k) for k in ("v", "vv", "vw", "head", "last", "text", "changes")], F.lit(0).alias("kind"), F.lit(0).alias("i"))
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("v", "vv", "vw", "head", "last", "text", "changes", "highs", "runs", "high")], F.lit(0).alias("kind"), F.lit(0).alias("i"))
 
         kind = lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
 
         def step(a: Column, c: Column) -> Column:
             value = F.call_function("instr", x.alphabet, c).cast("double")
+            high = F.when(2 * value > x["size"], 1.0).otherwise(0.0)
             return F.struct(
                 (a.v + value).alias("v"), (a.vv + value * value).alias("vv"), (a.vw + a["last"] * value).alias("vw"), F.when(a.i == 0, value).otherwise(a["head"]).alias("head"), value.alias("last"),
-                (a.text + F.get(logs, F.call_function("instr", F.lit(LOWER), F.lower(c)))).alias("text"), (a.changes + F.when((a.i > 0) & (a.kind != kind(c)), 1.0).otherwise(0.0)).alias("changes"), kind(c).alias("kind"), (a.i + 1).alias("i"),
+                (a.text + F.get(logs, F.call_function("instr", F.lit(LOWER), F.lower(c)))).alias("text"), (a.changes + F.when((a.i > 0) & (a.kind != kind(c)), 1.0).otherwise(0.0)).alias("changes"), (a.highs + high).alias("highs"), (a.runs + F.when((a.i == 0) | (a.high != high), 1.0).otherwise(0.0)).alias("runs"), high.alias("high"), kind(c).alias("kind"), (a.i + 1).alias("i"),
             )
 
         squares = F.aggregate(F.split(x.alphabet, ""), F.lit(0.0), lambda s, c: s + F.pow(x.n - F.length(F.replace(x.s, c, F.lit(""))), F.lit(2.0)))
@@ -148,10 +170,14 @@ def battery(token: Column, battery_: Battery) -> Column:
         cross = t.vw + t["last"] * t["head"]
         spread = y.n * t.vv - t.v * t.v
         serial = F.when(spread > 0, F.abs((y.n * cross - t.v * t.v) / spread) * F.sqrt(y.n)).otherwise(F.lit(1e9))
+        # Runs of values above and below the middle: mean and variance given how many are above.
+        both = 2 * t.highs * (y.n - t.highs)
+        spread_runs = both * (both - y.n) / (y.n * y.n * (y.n - 1))
+        runs = F.when(spread_runs > 0, F.abs(t.runs - both / y.n - 1) / F.sqrt(spread_runs)).otherwise(F.lit(1e3))
         rate = battery_.text_changes
         text = t.text + y.pairs + t.changes * F.log(rate / F.greatest(y.kinds - 1, F.lit(1))) + (y.n - 1 - t.changes) * math.log(1 - rate)
         nats = F.greatest(-y.n * F.log(y["size"]) - text - math.log(len(ENCODINGS)), F.lit(0.0))
-        ok = (uniform <= battery_.uniform_z) & (serial <= battery_.serial_z)
+        ok = combined(upper_tail(uniform), 2 * upper_tail(runs), 2 * upper_tail(F.least(serial, F.lit(1e3)))) >= battery_.random_p
         return F.when(ok, F.least(F.floor(nats * 10 / math.log(10)), F.lit(battery_.most_steps))).otherwise(F.lit(0)).cast("int")
 
     fit = F.filter(first, lambda x: x.alphabet.isNotNull() & (x.n >= battery_.min_length) & (x["size"] > 10))
