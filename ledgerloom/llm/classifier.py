@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, held_out, score, predicted`` of every row's whole text; texts without a word get the bias's score.
 
     The model is broadcast: ``buckets`` numbers, whatever the input. Nothing is shuffled; null ids and
-    repeated rows stay, and null texts are empty.
+    repeated rows stay, null texts are empty, and an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

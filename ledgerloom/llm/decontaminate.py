@@ -16,13 +16,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Fingerprints differ in RADIUS bits at most; of BLOCKS blocks one then differs in RADIUS // BLOCKS bits at most.
 RADIUS, BLOCKS, BLOCK_BITS = 15, 8, 8
-#: Benchmark tables of more rows are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: What is made from the benchmark is broadcast up to this many bytes, as JSON text; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """``table`` marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """``table`` marked for broadcast if its measured size is small enough. The result is the same either way."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def words(text: Column) -> Column:
@@ -75,7 +76,7 @@ def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A window similar enough to an item shares shingles with it, so only windows laid over a shared
     shingle as the item lies over it are taken; the others need no fingerprint. The benchmark's shingles are
-    broadcast if counted few. Positions travel without texts; only documents with a hit are read again.
+    broadcast if measured small. Positions travel without texts; only documents with a hit are read again.
     """
     anchors = items.select("size", F.posexplode(F.transform("shingles", lambda s: s.h)).alias("offset", "h")).distinct()
     anchors = materialize(anchors.groupBy("h").agg(F.collect_list(F.struct("size", "offset")).alias("at")))
@@ -124,6 +125,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` (with doc_id, text) without the documents that hold a benchmark item."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left_anti")
+    """``docs`` (with doc_id, text) without the documents that hold a benchmark item.
+
+    Repeated rows go or stay together, null ids compare equal, null and empty texts stay; an empty table or benchmark
+    removes nothing. Columns of ``docs`` may have any name, as they travel in a struct.
+    """
+    bad = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("hash")).distinct()
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    return own.join(materialize(bad), ["id", "none", "hash"], "left_anti").select("row.*")

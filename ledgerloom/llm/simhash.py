@@ -20,7 +20,8 @@ LEAST_SHARED = 8 - RADIUS
 SEED = 42
 #: Bits counted at once, so that a very long text needs no more memory than a short one.
 BLOCK = 1 << 16
-#: Postings up to LIGHT are joined with themselves; longer ones are split into cells of about twice CELL rows.
+#: Postings up to LIGHT are joined with themselves; longer ones are split into cells of about twice CELL rows. Either way gives the
+#: same components, so the two change no result.
 LIGHT, CELL = 24, 1024
 
 
