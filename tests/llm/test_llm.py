@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ledgerloom.llm.common import materialize
 from ledgerloom.llm import bpe, chat, classifier, decontaminate, licenses, lines, quality, queries, secrets, simhash, suffixes
 from tests.oracle import connect, rows
 
@@ -154,6 +155,77 @@ def test_calibration_limits_false_rejection(spark):
     assert quality.calibrate(measured, labels.limit(0), rules).count() == 0
 
 
+def exact_cutoffs(rows, control):
+    """rows: (stratum, good, measures). The cutoff of each stratum and rule by exact fractions, one test after the other."""
+    from fractions import Fraction
+    from math import comb
+
+    out = {}
+    p, delta = Fraction(control.rule_risk).limit_denominator(10**6), control.test_delta
+    for stratum in {r[0] for r in rows}:
+        good = [m for s, g, m in rows if s == stratum and g]
+        bad = [m for s, g, m in rows if s == stratum and not g]
+        for k, rule in enumerate(control.rules):
+            best = None
+            for c in sorted(rule.cutoffs, reverse=True):
+                n = sum(m[k] > c for m in good)
+                if sum(comb(len(good), i) * p**i * (1 - p) ** (len(good) - i) for i in range(n + 1)) > delta:
+                    break
+                caught = sum(m[k] > c for m in bad)
+                gain = (caught / len(bad) if bad else 0) - (n / len(good) if good else 0)
+                if (not bad or gain > 0) and (best is None or gain >= best[0]):
+                    best = (gain, c)
+            if best:
+                out[stratum, rule.name] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_verdict(spark, sf):
+    """The whole verdict on labelled tables against exact tests: few labels certify nothing, more do, and only what pays is used."""
+    control = quality.RiskControl()
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    measured = materialize(quality.features(docs))
+    cut = materialize(quality.calibrate(measured, labels, control))
+    own = {r.doc_id: (r.lang if r.lang in control.strata else "other", brute.features(r.text)) for r in docs.collect()}
+
+    def measures(f):
+        n, chars, symbols, dup, repeat = f
+        return symbols / chars if chars else 0.0, dup / n if n else 0.0, repeat / n if n else 0.0, chars / n if n else 0.0
+
+    rows = [(*own[r.doc_id][:1], r.quality == 1, measures(own[r.doc_id][1])) for r in labels.collect()]
+    want = exact_cutoffs(rows, control)
+    assert {(r.stratum, r.rule): r.cutoff for r in cut.collect()} == want
+    assert bool(want) == (sf != "sf0.001")
+    names = [r.name for r in control.rules]
+    fails = {d: f[0] < 10 or 100 * f[4] > 20 * f[0] for d, (_, f) in own.items()}
+    kept = {d for d, (s, f) in own.items() if not fails[d] and not any(want.get((s, r)) is not None and m > want[s, r] for r, m in zip(names, measures(f)))}
+    assert {r.doc_id for r in quality.judge(measured, cut, control).where("kept").collect()} == kept
+    if want:
+        quality_of = {r.doc_id: r.quality for r in labels.collect()}
+        en = [d for d in quality_of if own[d][0] == "en" and not fails[d]]
+        assert not [d for d in en if quality_of[d] == 0 and d in kept] and not [d for d in en if quality_of[d] == 1 and d not in kept]
+
+
+def test_quality_cutoffs_stop_at_the_first_failure(spark):
+    """A stricter cutoff is not certified past one that fails, labels of null ids or qualities do not count, and other columns may clash."""
+    control = quality.RiskControl(risk=0.02, rules=(quality.Rule("x", "m", (1.0, 2.0, 3.0)),), strata=("en",))
+    rows = [(i, "en", 0.0) for i in range(400)] + [(1000 + i, "en", 5.0) for i in range(20)] + [(2000 + i, None, 2.5) for i in range(30)]
+    measured = spark.createDataFrame([(*r, 50, 0, "a", True) for r in rows], "doc_id long, lang string, m double, n_words long, n_repeat_words long, key string, kept boolean")
+    labels = spark.createDataFrame([(d, 1) for d, _, _ in rows if d < 1000] + [(None, 0), (5, None)] + [(d, 0) for d, _, _ in rows if d >= 1000], "doc_id long, quality int")
+    cut = {(r.stratum, r.rule): (r.cutoff, r.n_good, r.n_caught) for r in quality.calibrate(measured, labels, control).collect()}
+    assert cut == {("en", "x"): (1.0, 400, 20)}
+    worse = labels.withColumn("quality", F.when(F.col("doc_id").between(1000, 1019), 1).otherwise(F.col("quality")))
+    assert not [k for k in quality.calibrate(measured, worse, control).collect() if k.stratum == "en"]
+    judged = quality.judge(measured, quality.calibrate(measured, labels, control), control)
+    assert judged.count() == len(rows) and judged.where("NOT kept").count() == 20
+    assert sorted(judged.columns) == sorted([*measured.columns, "base_failed", "method_failed"])
+    assert quality.judge(measured.limit(0), quality.calibrate(measured, labels.limit(0), control), control).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "x", 3, "y")], "doc_id long, text string, words string, n_words long, row string")
+    got = quality.features(clash).first()
+    assert (got.words, got.row, got.n_words) == ("x", "y", 2)
+
+
 def test_simhash(any_docs):
     own = sorted(texts_of(any_docs).items())
     fps = [(d, brute.simhash(t)) for d, t in own]
@@ -206,6 +278,49 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0), "doc_id", "path", "text", F.col("lic")).count() == 0
 
 
+def license_cosines(texts, known):
+    """Nearest template and cosine of every part of every text, by plain sums over the corpus."""
+    import math
+    import re
+    from collections import Counter
+
+    bag = lambda t: Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower()))
+    df = Counter(w for t in texts for w in bag(t))
+    weigh = lambda b: {w: n * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in b.items()}
+    dot = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items())
+    units = [(name, w, math.sqrt(dot(w, w))) for name, t in known for w in [weigh(bag(t))]]
+    out = []
+    for t in texts:
+        best = None
+        pieces = [*re.split(r"\n|(?<=[.!?;]) +(?=[A-Z])", t), *re.split(r"\n[^A-Za-z0-9\n]*\n", t), t]
+        for p in (p for p in pieces if re.search(licenses.TRIGGER, p)):
+            own = weigh(bag(p))
+            length = math.sqrt(dot(own, own))
+            for name, w, norm in units:
+                if length and (c := round(dot(own, w) / norm / length, 6)) >= licenses.SIMILARITY and (best is None or (-c, name) < best):
+                    best = (-c, name)
+        out.append(best)
+    return out
+
+
+def test_license_texts_headers_and_files(spark):
+    """Whole, cut, reworded and wrapped licences against plain cosines; whole ones make licence files of themselves."""
+    known = [(r.license, r.text) for r in licenses.templates(spark).collect()]
+    mit, apache, gpl = (next(t for name, t in reversed(known) if name == n) for n in ("MIT", "Apache-2.0", "GPL-3.0"))
+    wrapped = "/*\n * Licensed under the Apache License,\n * Version 2.0 (the License); you may not use\n * this file except in compliance with the\n * License.\n */\n" + "\n".join(f"int f{i}() {{ return {i} + value; }}" for i in range(30))
+    reworded = mit.replace("free of charge", "at no cost").replace("Software", "Program").replace("any person", "everyone")
+    prose = ["words of prose about a copyright case and the people in it"] * 4 + ["plain text of other things"] * 4
+    texts = [mit, apache, gpl[: len(gpl) // 2], wrapped, reworded, "x = 1\n", "x = 2\n", *prose]
+    paths = ["a/LICENSE", "b/LICENSE", "c/LICENSE", "d/m.c", "e/LICENSE", "a/src/x.py", "d/y.c", *(f"p/{i}" for i in range(8))]
+    df = spark.createDataFrame([(i, p, t, "clash", "clash") for i, (p, t) in enumerate(zip(paths, texts))], "doc_id long, path string, text string, row string, parts string")
+    got = {r.doc_id: r for r in licenses.scan(df, "doc_id", "path", "text").collect()}
+    want = license_cosines(texts, known)
+    assert [(got[i].license, -got[i].similarity) if got[i].origin == "own" else None for i in range(len(texts))] == [w and (w[1], pytest.approx(w[0], abs=2e-6)) for w in want]
+    assert [got[i].license for i in range(7)] == ["MIT", "Apache-2.0", "GPL-3.0", "Apache-2.0", "MIT", "MIT", None]
+    assert got[5].origin == "inherited" and got[6].origin == "none"  # a header is no licence file
+    assert all(got[i].origin == "none" for i in range(7, 15))
+
+
 def test_classifier(spark, table, docs):
     sf = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -365,3 +480,14 @@ def test_pipeline(spark, table, gpt):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert {d: r.ids for d, r in got.items()} == want
     assert all(r.text_sha256 == hashlib.sha256(one[d].encode()).hexdigest() for d, r in got.items())
+
+
+def test_combined_p_values(spark):
+    """Tails against the error function, and Cauchy's combination: one strong test decides, three fair ones do not."""
+    from math import erfc, sqrt
+
+    for z in (-3.0, -0.5, 0.0, 1.0, 2.5, 5.0):
+        got = spark.range(1).select(secrets.upper_tail(F.lit(z)).alias("p")).first().p
+        assert got == pytest.approx(erfc(z / sqrt(2)) / 2, abs=2e-7)
+    mix = lambda *p: spark.range(1).select(secrets.combined(*map(F.lit, p)).alias("p")).first().p
+    assert mix(0.4, 0.4, 0.4) == pytest.approx(0.4) and mix(1e-9, 0.5, 0.5) == pytest.approx(3e-9, rel=0.01) and 0 < mix(1.0, 1.0, 1.0) <= 1
