@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, classifier, decontaminate, licenses, lines, quality, secrets, simhash, suffixes
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm import bpe, chat, classifier, decontaminate, infill, jaccard, licenses, lines, quality, runs, secrets, simhash, suffixes
+from ledgerloom.llm.common import WHITESPACE, documents_of, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,47 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_quality_rules, op4_simhash, op5_license_scan, op6_quality_classifier, op7_suffix_array, op8_chat_formatting, op9_decontaminate, op10_byte_bpe)}
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.infill(_table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in which every tenth document by the CRC of its id repeats a stretch of its words up to the end, as the contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    # The words are bound to a variable, as an array that is computed once and not for every word.
+    words = F.array_remove(F.split("text", WHITESPACE), "")
+    planted = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), F.lit(0))
+    return documents_of(docs).select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = runs.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents")))
+    better = lambda x, y: F.when(x["length"] * y["period"] > y["length"] * x["period"], -1).when(x["length"] * y["period"] < y["length"] * x["period"], 1)
+    first = lambda x, y: F.when(F.struct(x["start"], x["period"]) < F.struct(y["start"], y["period"]), -1).when(F.struct(x["start"], x["period"]) > F.struct(y["start"], y["period"]), 1).otherwise(0)
+    best = F.get(F.array_sort("runs", lambda x, y: better(x, y).otherwise(first(x, y))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    thousandths = 1000 * F.col("best.length")
+    return done.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", ((thousandths - thousandths % F.col("best.period")) / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_quality_rules, op4_simhash, op5_license_scan, op6_quality_classifier, op7_suffix_array, op8_chat_formatting, op9_decontaminate, op10_byte_bpe, op11_jaccard_join, op12_fill_in_middle, op13_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
@@ -114,5 +154,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(((before = '' AND pos = 1 AND role IN ('system', 'user')) OR (pos > 1 AND before = 'system' AND role = 'user')
     OR (pos > 1 AND before = 'user' AND role = 'assistant') OR (pos > 1 AND before = 'assistant' AND role = 'user')) AND (NOT final OR role = 'assistant')) AS valid
 FROM placed GROUP BY conv_id
+""",
+    "op12_fill_in_middle": r"""
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+), drawn AS (
+  SELECT doc_id, t, ls, len(ls) - CASE WHEN ls[-1] = '' THEN 1 ELSE 0 END AS n, list_transform(range(4), lambda k: ('0x' || digest[8 * k + 1 : 8 * k + 8])::BIGINT) AS h FROM parts
+), cut AS (
+  SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS k1, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS k2, ls,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), ends AS (
+  SELECT *, length(left(t, (length(array_to_string(ls[1 : k1], chr(10))) + least(k1, 1))::BIGINT)) AS a, length(left(t, (length(array_to_string(ls[1 : k2], chr(10))) + least(k2, 1))::BIGINT)) AS b FROM cut
+), laid AS (
+  SELECT *, t[1 : a] AS pre, CASE WHEN b > a THEN t[a + 1 : b] ELSE '' END AS mid, t[b + 1 :] AS suf FROM ends
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM laid
 """,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 
 from xxhash import xxh64_intdigest
@@ -117,3 +119,68 @@ def leaks(docs, items, least=0.8):
                         out.add((d, k))
                         break
     return out
+
+
+def jaccard_components(docs):
+    """docs: {id: text}. Shingles and smallest id reachable over links of 80 % Jaccard similarity; every pair is compared."""
+    sets = {}
+    for d, t in docs.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    root = {d: d for d in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), find(d)) for d in docs}
+
+
+def infill(doc_id, text):
+    """n, form, prefix_chars, middle_chars and output of one document."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    h = [int(hashlib.sha256(f"7:{doc_id}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 100:
+        return n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    return (n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 50 else (n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def plant(doc_id, w):
+    """The words of a document with the contract's stretch of repeats."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w):
+    """Runs (start, length, period) of a list of words, by start, then period: each lag is walked from end to end, least lags first."""
+    found = {}
+    for q in range(1, len(w) // 3 + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j - i + q >= max(24, 3 * q):
+                found.setdefault((i, j - i + q), q)
+            i = j + 1
+    return sorted(((a, n, q) for (a, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, own):
+    gone = {i for a, n, q in own for i in range(a + q, a + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
