@@ -11,10 +11,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from heapq import merge
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,18 +149,31 @@ def search_cells(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataF
     BROADCAST_BYTES (every row has a fixed size); beyond, texts are shuffled to these rows first.
     """
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.groupby("node", as_index=False).agg({"root": "first", "asked": "max", "body": "first", "cell": "first"})
-        links = search([shingle_hashes(bytes(t)) for t in cell["body"]], cell["root"].to_numpy(), cell["asked"].to_numpy())
-        ids = cell["node"].to_numpy()
-        return pd.DataFrame({"cell": cell["cell"].iloc[0], "a": [ids[x] for x, _ in links], "b": [ids[y] for _, y in links]})
+    def links(rows: list[tuple]) -> list[tuple]:
+        found = search([shingle_hashes(r[4]) for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+        return [(rows[0][0], rows[x][1], rows[y][1]) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stream sorted by cell and node, of which one cell is held; a node that comes again is asked if one of its rows is."""
+        own: list[tuple] = []
+        for row in chain((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), [None]):
+            if own and (row is None or row[0] != own[0][0]):
+                out = links(own)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), *(pa.array([r[k] for r in out], pa.int64()) for k in (1, 2))], ["cell", "a", "b"])
+                own = []
+            if own and row and row[1] == own[-1][1]:
+                own[-1] = (*row[:3], row[3] or own[-1][3], row[4])
+            elif row:
+                own.append(row)
 
     where = materialize(members.join(nodes.select("node", "rep_id", "rep_key"), "node"))
     small = where.count() * MEMBER_BYTES <= BROADCAST_BYTES
     found = docs.join(F.broadcast(where) if small else where, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_key") == F.col("text_key")))
-    links = materialize(found.select("cell", "node", "root", "asked", "body").groupBy("cell").applyInPandas(run, "cell binary, a long, b long"))
+    dealt = found.select("cell", "node", "root", "asked", "body").repartition("cell").sortWithinPartitions("cell", "node")
+    out = materialize(dealt.mapInArrow(run, "cell binary, a long, b long"))
     discard(where)
-    return links
+    return out
 
 
 def _key(*parts: Column) -> Column:
@@ -216,7 +228,7 @@ def rest_members(index: DataFrame, roots: DataFrame) -> DataFrame:
     """Cells for all pairs of different components so far that share indexed shingles enough to be alike.
 
     Short lists: pairs are tallied over the lists, and those that reach their slack less the long shingles that they may share are put
-    into cells by their smaller set. Long lists: the members outside of the largest component are asked in every part of the list.
+    into cells by their smaller set. Long lists: the members outside of a list's largest component are asked in every part of the list.
     """
     own = index.join(roots, index["node"] == roots["of"], "left").select("node", "size", "n_long", "short", "long", F.coalesce("root", "node").alias("root"))
     own = materialize(own)
@@ -227,21 +239,28 @@ def rest_members(index: DataFrame, roots: DataFrame) -> DataFrame:
     near = ((F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("node") < F.col("node_b")))) & (F.col("size") * OF >= F.col("size_b") * NEAR)
     pairs = short.join(b, "shingle").where((F.col("root") != F.col("root_b")) & near)
     pairs = pairs.groupBy("node", "size", "root", "node_b", "root_b").agg(F.count("*").alias("shared"), F.least(F.first("n_long"), F.first("n_long_b")).alias("rest"), F.first("size_b").alias("size_b"))
-    pairs = materialize(pairs.where(F.col("shared") >= F.greatest(F.lit(1), slack(F.col("size")) - F.col("rest"))))
+    # Below the smaller of the two hashes at which the index parts end all that is shared is known: the rest of that set must make up the overlap.
+    a, b = F.col("size"), F.col("size_b")
+    overlap = F.ceil((a + b) * NEAR / (NEAR + OF)).cast("int")
+    least = overlap + F.least(slack(a) - required(a), slack(b) - required(b)) - F.col("rest")
+    pairs = materialize(pairs.where(F.col("shared") >= F.greatest(F.lit(1), least)))
     load = pairs.groupBy("node").agg(F.sum(F.col("size_b").cast("long")).alias("total"))
     dealt = pairs.join(load, "node").withColumn("cell", _key(F.lit("pair"), F.col("node"), F.pmod(F.xxhash64("node_b", F.lit(7)), _cells("total"))))
     cells = dealt.select("cell", F.col("node_b").alias("node"), F.col("root_b").alias("root"), F.lit(False).alias("asked")).unionByName(dealt.select("cell", "node", "root", F.lit(True).alias("asked")).distinct())
 
-    parts = posted("long").groupBy("shingle", "root").agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("total"))
-    most = F.max(F.struct("n", "root", "total"))
-    lists = parts.groupBy("shingle").agg(most.alias("bulk"), F.sum("total").alias("total"), F.count("*").alias("n_roots")).where("n_roots > 1")
-    lists = materialize(lists.select("shingle", F.col("bulk.root").alias("bulk"), _cells("total").alias("n_all"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("bulk.total")) / CELL)).cast("int").alias("n_asked")))
-    rows = posted("long").join(lists, "shingle")
+    parts = posted("long").groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    lists = parts.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("bulk"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    lists = materialize(lists.select("shingle", F.col("bulk.root").alias("bulk")))
+    # Lists with the same bulk, as those of a group of near copies, are one: a set is in it once.
+    rows = materialize(posted("long").join(lists, "shingle").select("bulk", "node", "size", "root").distinct())
+    outside = F.when(F.col("root") != F.col("bulk"), F.col("size").cast("long")).otherwise(0)
+    totals = rows.groupBy("bulk").agg(F.sum(F.col("size").cast("long")).alias("total"), F.sum(outside).alias("asked"))
+    rows = rows.join(materialize(totals.select("bulk", _cells("total").alias("n_all"), _cells("asked").alias("n_asked"))), "bulk")
     part = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = rows.where("root <> bulk").select("shingle", "node", "root", part("n_asked").alias("i"), every("n_all").alias("j"), F.lit(True).alias("asked"))
-    index_ = rows.select("shingle", "node", "root", every("n_asked").alias("i"), part("n_all").alias("j"), F.lit(False).alias("asked"))
-    crossed = ask.unionByName(index_).select(_key(F.lit("list"), F.col("shingle"), F.col("i"), F.col("j")).alias("cell"), "node", "root", "asked")
+    ask = rows.where("root <> bulk").select("bulk", "node", "root", part("n_asked").alias("i"), every("n_all").alias("j"), F.lit(True).alias("asked"))
+    index_ = rows.select("bulk", "node", "root", every("n_asked").alias("i"), part("n_all").alias("j"), F.lit(False).alias("asked"))
+    crossed = ask.unionByName(index_).select(_key(F.lit("list"), F.col("bulk"), F.col("i"), F.col("j")).alias("cell"), "node", "root", "asked")
     return cells.unionByName(crossed)
 
 
