@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -30,6 +30,40 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of :func:`written` that no later plan reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def call_graph(edges: DataFrame, roots: DataFrame, depth: int, most: int) -> DataFrame:
+    """``root, node, depth, truncated``: what each of ``roots(root)`` reaches along ``edges(src, dst)`` in ``depth`` steps, ``most`` nodes at most.
+
+    A level takes its new nodes in the order of their keys until the root's budget is used; then the root is ``truncated`` and goes no
+    further. The root counts as a node. No node of a level is beyond the first ``2 most`` of an edge's start, since ``most`` at most are known,
+    so a start with very many edges, and a root with a very wide level, stay bounded. Null keys are no nodes.
+    """
+    first = Window.partitionBy("src").orderBy("dst")
+    near = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * most).select("src", "dst")
+    near = written(near)
+    seen = written(roots.where("root IS NOT NULL").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    old = [near]
+    for level in range(1, depth + 1):
+        used = seen.groupBy("root").agg(F.count("*").alias("used")).where(F.col("used") < most)
+        frontier = seen.where(F.col("depth") == level - 1).join(used.select("root"), "root", "left_semi")
+        new = frontier.join(near, frontier["node"] == near["src"]).select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
+        new = new.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("k") <= most)
+        taken = new.join(used, "root").where(F.col("k") <= most - F.col("used")).select("root", "node", F.lit(level).alias("depth"))
+        old.append(seen)
+        seen = written(seen.unionByName(taken))
+    for table in old:
+        discard(table)
+    full = seen.groupBy("root").agg((F.count("*") >= most).alias("truncated"))
+    return seen.join(full, "root")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.7, least: float = 0.4) -> DataFrame:
     """``node, depth, confidence, relation`` within ``depth`` steps along ``edges(src, dst, weight, relation)`` from ``seeds(node, weight)``.
 

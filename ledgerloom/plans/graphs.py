@@ -75,3 +75,20 @@ def symbol_containment(spark, sf_dir):
 def edge_resolution(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").select("event_id", F.when(k > 90, "dynamic").when(F.col("event_type") == "view", "coarse").otherwise("exact").alias("resolution"))
+
+
+def _levels(depth: int, most: int) -> str:
+    """CTEs l0 to l``depth`` of (root, node, depth): each level's new nodes by key, as many as the root has left."""
+    out = ["l0 AS (SELECT p_partkey::BIGINT AS root, p_partkey::BIGINT AS node, 0 AS depth FROM part WHERE p_partkey % 20 = 0)"]
+    for k in range(1, depth + 1):
+        out.append(f"""n{k} AS (SELECT DISTINCT l.root, e.dst AS node FROM l{k - 1} l JOIN e ON e.src = l.node WHERE l.depth = {k - 1}),
+ u{k} AS (SELECT root, count(*) AS used FROM l{k - 1} GROUP BY 1),
+ l{k} AS (SELECT * FROM l{k - 1} UNION ALL SELECT root, node, {k} FROM (SELECT n.root, n.node, used, row_number() OVER (PARTITION BY n.root ORDER BY n.node) AS r FROM n{k} n JOIN u{k} USING (root) ANTI JOIN l{k - 1} s ON s.root = n.root AND s.node = n.node) WHERE r <= {most} - used)""")
+    return ", ".join(out)
+
+
+@query(f"WITH {EDGES}, {_levels(3, 60)} SELECT root, node, depth, count(*) OVER (PARTITION BY root) >= 60 AS truncated FROM l3")
+def call_graph_budget(spark, sf_dir):
+    """Every twentieth part (the stated set of roots) with what it reaches in three steps, 60 nodes at most."""
+    roots = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("root"))
+    return G.call_graph(_edges(spark, sf_dir), roots, 3, 60)

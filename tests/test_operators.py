@@ -146,3 +146,31 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q = jobs.daily_rollup(jobs.read_events(spark, clean)).writeStream.foreachBatch(jobs.upsert_days(out)).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.read.parquet(out).agg(F.sum("cents")).first()[0] == batch.agg(F.sum(F.round(F.col("value") * 100).cast("long"))).first()[0]
+
+
+def test_call_graph_against_a_walk(spark):
+    """Budgets, depths, a start with very many edges, cycles, null keys and repeated edges."""
+    import random
+
+    from ledgerloom.operators import graph as G
+
+    r = random.Random(6)
+    pairs = [(r.randrange(40), r.randrange(40)) for _ in range(120)] + [(1, k) for k in range(100, 300)] + [(None, 1), (2, None), (3, 3)]
+    pairs += pairs[:20]
+    out = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            out.setdefault(a, set()).add(b)
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    roots = spark.createDataFrame([(k,) for k in [*range(40), 5, 999, None]], "root long")
+    for depth, most in ((1, 5), (3, 12), (5, 1000), (2, 1), (0, 3)):
+        want = set()
+        for root in [*range(40), 999]:
+            seen = {root: 0}
+            for level in range(1, depth + 1):
+                if len(seen) >= most:
+                    break
+                new = sorted({b for a, d in seen.items() if d == level - 1 for b in out.get(a, ())} - set(seen))
+                seen |= {b: level for b in new[: most - len(seen)]}
+            want |= {(root, b, d, len(seen) >= most) for b, d in seen.items()}
+        assert {tuple(x) for x in G.call_graph(edges, roots, depth, most).select("root", "node", "depth", "truncated").collect()} == want
