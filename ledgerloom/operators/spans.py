@@ -29,6 +29,16 @@ HIDDEN_RANGES = ((0xFE00, 0xFE0F, "VS"), (0xE0000, 0xE007F, "TAG"))
 HIDDEN_CLASS = "".join(rf"\x{{{c:x}}}" for c in HIDDEN) + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b, _ in HIDDEN_RANGES)
 
 
+#: Quotes are broadcast up to so many bytes, as JSON text; beyond, they are joined by shuffle, and short ones by Spark's own plan.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` marked for broadcast if its measured bytes are few. The result is the same either way."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def flat(text: Column) -> Column:
     """Every run of white space as one space."""
     return F.regexp_replace(text, f"[{SPACES}]+", " ")
@@ -55,9 +65,9 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", "section_start", "section_end", flat(F.col("text")).alias("flat"))
     split = docs.select("doc_id", F.split("flat", " ").alias("words"))
     grams = split.select("doc_id", F.explode_outer(F.transform("words", lambda w, i: key(F.slice("words", i + 1, F.lit(KEY_WORDS))))).alias("key"))
-    met = grams.join(long, "key").select("doc_id", "quote_id").distinct()
-    pairs = met.join(docs, "doc_id").join(quotes, "quote_id").where(F.contains("flat", "needle"))
-    short = docs.join(quotes.where(F.size("words") < KEY_WORDS + 2), F.contains("flat", "needle"))
+    met = grams.join(small(long), "key").select("doc_id", "quote_id").distinct()
+    pairs = met.join(docs, "doc_id").join(small(quotes), "quote_id").where(F.contains("flat", "needle"))
+    short = docs.join(small(quotes.where(F.size("words") < KEY_WORDS + 2)), F.contains("flat", "needle"))
     columns = ["doc_id", "quote_id", "text", "section_start", "section_end", "pattern"]
     return pairs.select(columns).unionByName(short.select(columns)).select("doc_id", "quote_id", _place().alias("p")).select("doc_id", "quote_id", "p.start", "p.end")
 
