@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
+from ledgerloom.operators.graph import written
+
 #: What counts as white space in a quote, within a character class of Java, RE2 and, but for the braces, Python.
 SPACES = r"\s\x{b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: A quote of fewer words pins nothing.
@@ -40,8 +42,8 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def flat(text: Column) -> Column:
-    """Every run of white space as one space."""
-    return F.regexp_replace(text, f"[{SPACES}]+", " ")
+    """Every run of white space as one space. Texts of ASCII alone need the short class only, which is matched much faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.regexp_replace(text, r"[\x20\x09-\x0d]+", " ")).otherwise(F.regexp_replace(text, f"[{SPACES}]+", " "))
 
 
 def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -59,15 +61,15 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     quotes = quotes.withColumn("words", word).where(F.size("words") >= LEAST_WORDS)
     quoted = F.transform("words", lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     quotes = quotes.select("quote_id", "words", F.array_join("words", " ").alias("needle"), F.array_join(quoted, f"[{SPACES}]+").alias("pattern"))
-    # The inner words of a quote are whole words of the text.
-    key = lambda w: F.xxhash64(F.array_join(w, " "))
-    long = quotes.where(F.size("words") >= KEY_WORDS + 2).select("quote_id", key(F.slice("words", 2, KEY_WORDS)).alias("key"))
-    docs = docs.select("doc_id", "text", "section_start", "section_end", flat(F.col("text")).alias("flat"))
-    split = docs.select("doc_id", F.split("flat", " ").alias("words"))
-    grams = split.select("doc_id", F.explode_outer(F.transform("words", lambda w, i: key(F.slice("words", i + 1, F.lit(KEY_WORDS))))).alias("key"))
-    met = grams.join(small(long), "key").select("doc_id", "quote_id").distinct()
-    pairs = met.join(docs, "doc_id").join(small(quotes), "quote_id").where(F.contains("flat", "needle"))
-    short = docs.join(small(quotes.where(F.size("words") < KEY_WORDS + 2)), F.contains("flat", "needle"))
+    # The inner words of a quote are whole words of the text: hashes of words, then of KEY_WORDS such in a row.
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    key = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(KEY_WORDS)])
+    long = quotes.where(F.size("words") >= KEY_WORDS + 2).select("quote_id", hashes("words").alias("h")).select("quote_id", key(F.col("h"), F.lit(1)).alias("key"))
+    grams = docs.select("doc_id", hashes(F.split(flat(F.col("text")), " ")).alias("h")).select("doc_id", F.explode_outer(F.transform("h", lambda _, i: key(F.col("h"), i))).alias("key"))
+    met = written(grams.join(small(long), "key").select("doc_id", "quote_id").distinct())
+    pairs = docs.join(small(met), "doc_id").join(small(quotes), "quote_id").where(F.contains(flat(F.col("text")), F.col("needle")))
+    flattened = docs.withColumn("flat", flat(F.col("text")))
+    short = flattened.join(small(quotes.where(F.size("words") < KEY_WORDS + 2)), F.contains("flat", "needle"))
     columns = ["doc_id", "quote_id", "text", "section_start", "section_end", "pattern"]
     return pairs.select(columns).unionByName(short.select(columns)).select("doc_id", "quote_id", _place().alias("p")).select("doc_id", "quote_id", "p.start", "p.end")
 
