@@ -414,6 +414,41 @@ def test_decontamination_of_light_edits(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, edge).collect()} == want
 
 
+def test_decontamination_finds_by_fingerprints(spark, monkeypatch):
+    """A header that 1000 items share brings no pair of its own to verification, and without the search nothing is found."""
+    word = lambda i, k: hashlib.sha256(f"{i} {k}".encode()).hexdigest()[: 3 + k % 7]
+    header = "answer the question with one of the letters given below it".split()
+    items = {i: " ".join(header + [word(i, k) for k in range(60)]) for i in range(1000)}
+    flat = {i: "before it " + " ".join([*t.split()[:30], "edited", *t.split()[31:]]) + " after it" for i, t in items.items() if i % 10 == 0}
+    flat |= {2000: " ".join(header + [word(-1, k) for k in range(60)]), 2001: " ".join(header * 50)}
+    df = spark.createDataFrame(list(flat.items()), "doc_id long, text string")
+    edge = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, edge).collect()} == {(i, i) for i in range(0, 1000, 10)}
+    monkeypatch.setattr(decontaminate, "RADIUS", -1)
+    assert decontaminate.leaks(df, edge).count() == 0
+
+
+def test_fingerprints_follow_similarity(spark):
+    """Recall of the radius alone over pairs just similar enough, with heavy or light shingles edited."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.choice((1, 2, 3, 20))))
+    pairs = []
+    while len(pairs) < 400:
+        a = [word() for _ in range(60)]
+        b = list(a)
+        for k in r.sample(range(60), r.choice((1, 2))):
+            b[k] = word()
+        one, two = ({" ".join(x[k : k + 5]) for k in range(56)} for x in (a, b))
+        weigh = lambda x: sum(len(y) - 4 for y in x)
+        if 0.8 <= weigh(one & two) / weigh(one | two) < 0.86:
+            pairs.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for c in "ab":
+        df = decontaminate.materialize(decontaminate.shingles(df, c, f"s{c}", True)).withColumn(f"v{c}", decontaminate.votes(f"s{c}")).withColumn(f"f{c}", decontaminate.fingerprint(f"v{c}"))
+    apart = df.select(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("n"))
+    assert apart.where(F.col("n") <= decontaminate.RADIUS).count() >= 396
+
+
 def test_hamming_blocks(spark):
     """Fingerprints within the radius share a block value, up to one bit."""
     r = random.Random(5)
@@ -425,7 +460,7 @@ def test_hamming_blocks(spark):
             g ^= 1 << b
         data.append((i, int(np.uint64(f).view(np.int64)), int(np.uint64(g).view(np.int64))))
     df = spark.createDataFrame(data, "i long, a long, b long")
-    assert df.where(F.arrays_overlap(decontaminate.block_keys("a", 0), decontaminate.block_keys("b", 1))).count() == 300
+    assert df.where(F.arrays_overlap(decontaminate.block_keys("a", 0), decontaminate.block_keys("b", decontaminate.FLIPS))).count() == 300
 
 
 @pytest.fixture(scope="module")
