@@ -122,12 +122,14 @@ def calibrate(measured: DataFrame, labels: DataFrame, control: RiskControl = Ris
     and all more lenient ones of its rule pass. Of these the one with the largest share of bad documents caught,
     less the share of good ones rejected, is taken, and the strictest on ties; if bad labels exist and none is caught
     at a gain, the rule is not used. Strata without a certified cutoff (too few labels) have no row, and the rule rejects
-    none there. Labels are joined once per document id; null ids and qualities do not count, and conflicting labels
+    none there. An id counts once, with the largest measures of its rows, so that repeated rows certify nothing; near copies
+    under other ids are taken for independent. Null ids and qualities do not count, and conflicting labels
     of an id count as bad. Empty tables give no cutoff.
     """
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("good"))
     seen = measured.select(F.col("doc_id").alias("id"), stratum(F.col("lang"), control).alias("stratum"), *[F.expr(r.measure).alias(f"m{k}") for k, r in enumerate(control.rules)])
-    held = seen.join(own, "id")
+    measures = [F.max(f"m{k}").alias(f"m{k}") for k in range(len(control.rules))]
+    held = seen.join(own, "id").groupBy("id").agg(F.min("stratum").alias("stratum"), F.min("good").alias("good"), *measures)
     good = F.col("good") == 1
     over = [(f"{k}_{j}", F.col(f"m{k}") > c) for k, r in enumerate(control.rules) for j, c in enumerate(r.cutoffs)]
     counts = held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"), *[F.count_if(good & x).alias(f"r{k}") for k, x in over], *[F.count_if(~good & x).alias(f"b{k}") for k, x in over])

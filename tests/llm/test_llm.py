@@ -215,6 +215,8 @@ def test_quality_cutoffs_stop_at_the_first_failure(spark):
     labels = spark.createDataFrame([(d, 1) for d, _, _ in rows if d < 1000] + [(None, 0), (5, None)] + [(d, 0) for d, _, _ in rows if d >= 1000], "doc_id long, quality int")
     cut = {(r.stratum, r.rule): (r.cutoff, r.n_good, r.n_caught) for r in quality.calibrate(measured, labels, control).collect()}
     assert cut == {("en", "x"): (1.0, 400, 20)}
+    thrice = {(r.stratum, r.rule): (r.cutoff, r.n_good, r.n_caught) for r in quality.calibrate(measured.union(measured).union(measured), labels, control).collect()}
+    assert thrice == cut
     worse = labels.withColumn("quality", F.when(F.col("doc_id").between(1000, 1019), 1).otherwise(F.col("quality")))
     assert not [k for k in quality.calibrate(measured, worse, control).collect() if k.stratum == "en"]
     judged = quality.judge(measured, quality.calibrate(measured, labels, control), control)
