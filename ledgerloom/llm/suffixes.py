@@ -22,8 +22,8 @@ WIDTH = LENGTH - GRAM + 1
 HALF = WIDTH // 2
 #: Bytes of texts that are hashed together, places that are compared at once, and bytes of a shard.
 BLOCK, CHUNK, SHARD_BYTES = 1 << 20, 1 << 16, 1 << 20
-#: Contexts are split by longer cores so many times before they are sorted, and further where a core has over HOT different ones.
-SPLITS, HOT = 2, 1024
+#: A core with more different contexts than fill a shard is split by longer cores.
+HOT = SHARD_BYTES // (2 * LENGTH)
 #: Reduced texts of more letters are induced by plain scans, with the same result.
 SCALAR_FROM = 1024
 
@@ -432,10 +432,9 @@ def repeated_spans(docs: DataFrame) -> list[DataFrame]:
 
     Places whose longer half occurs once are dropped. Places whose whole context is equal are one before anything is
     sorted: all but the first are repeated throughout; their keys tell, and only what is left is read from the texts
-    again. Different contexts are split by longer cores: on the side of a difference a longer core mostly occurs once
-    and falls away, on the other the shorter context mostly becomes equal to another. What still differs within a core goes to one
-    shard, whose suffix array and permuted common prefixes give the classes of equal windows. The contexts of a core that
-    has over ``HOT`` of them are split once more instead and take their turn again, so no shard grows with a hot string.
+    again. The different contexts of a core go to one shard, whose suffix array and permuted common prefixes give the
+    classes of equal windows. Only a core that has over ``HOT`` of them, which fill a shard, is split by longer cores, and
+    its parts take their turn again, so no shard grows with a hot string.
     """
     found = materialize(anchors(docs))
     places = materialize(repeated_places(found))
@@ -457,10 +456,6 @@ def repeated_spans(docs: DataFrame) -> list[DataFrame]:
         if not level:
             unlike, few = materialize(contexts(docs, unlike, True)), unlike
             discard(few)
-        if level < SPLITS:
-            spread = materialize(longer_cores(unlike))
-            discard(unlike)
-            continue
         cold = unlike.where(F.col("n_contexts") <= HOT)
         n_shards = max(1, -(-(cold.agg(F.sum(F.length("context"))).first()[0] or 0) // SHARD_BYTES))
         shards = cold.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(n_shards))).select("shard", "doc_id", "text_hash", "at", "context")
