@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import guards
 from ledgerloom.operators import nested as N
 from ledgerloom.plans.registry import query, table
 
@@ -51,3 +52,18 @@ def json_deep_subset(spark, sf_dir):
     rows = docs.select("event_id", F.try_parse_json("b").isNull().alias("malformed")).join(lost, "event_id", "left")
     none = lambda c: ~F.col("malformed") & (F.coalesce(c, F.lit(0)) == 0)
     return rows.select("event_id", "malformed", none(F.col("n")).alias("equal"), none(F.col("lost")).alias("part"))
+
+
+@query("""
+    WITH v AS (SELECT role, text FROM conversations WHERE role IS NOT NULL)
+    SELECT 'verdict.reason' AS path, count(text) AS n_rows, count(*) FILTER (length(text) > 2000) AS n_over FROM v
+    UNION ALL SELECT 'verdict.role', count(role), count(*) FILTER (length(role) > 128) FROM v
+    UNION ALL SELECT 'turns[].said', count(text), count(*) FILTER (length(text) > 128) FROM v
+    UNION ALL SELECT 'notes.*', count(text), count(*) FILTER (CASE role WHEN 'judge' THEN length(text) > 128 WHEN 'reason' THEN length(text) > 2000 ELSE length(text) > 128 END) FROM v
+""")
+def leaf_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings at every leaf of nested turns, and those beyond what their name allows."""
+    turns = table(spark, sf_dir, "conversations").where("role IS NOT NULL")
+    said = F.struct(F.col("text").alias("said"))
+    rows = turns.select(F.struct(F.col("text").alias("reason"), "role").alias("verdict"), F.array(said).alias("turns"), F.create_map("role", "text").alias("notes"))
+    return guards.leaf_report(rows)
