@@ -29,4 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from ledgerloom.plans import codebase, evaluation, graphs, ledger, limits, matching, nested, records, relational, retrieval, spans, stateful, texts  # noqa: F401
+    from ledgerloom.plans import codebase, evaluation, graphs, ledger, limits, matching, nested, reading, records, relational, retrieval, spans, stateful, texts  # noqa: F401
