@@ -42,7 +42,23 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     Gains are binary and the ideal is cut at k. Queries without relevant items are left out.
     """
     total = relevant.groupBy("query").agg(F.count("*").alias("total"))
-    hits = ranked.join(relevant.withColumn("_hit", F.lit(1)), ["query", "item"]).groupBy("query").agg(
+    return _ranked(total, ranked.join(relevant, ["query", "item"]), k)
+
+
+def label_metrics(ranked: DataFrame, queries: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """:func:`ranking_metrics` where a query's relevant items are the others of its label, without a row for each of them.
+
+    ``queries(query, label)`` are among the items of ``labels(item, label)``, whose ids are distinct. What is relevant is counted by label, and only
+    ranked items are looked up. A null label is relevant to nothing; queries alone in their label are left out.
+    """
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("total")).where("total > 0")
+    hits = ranked.join(queries, "query").join(labels, ["item", "label"]).where("query <> item")
+    return _ranked(queries.join(sizes, "label").select("query", "total"), hits, k)
+
+
+def _ranked(total: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Metrics from ``total(query, total)`` and the relevant ones of what was ranked, ``hits(query, rank)``."""
+    hits = hits.groupBy("query").agg(
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("total", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))

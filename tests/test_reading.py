@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import reading as R
+from ledgerloom.operators import metrics, reading as R
 from ledgerloom.operators import summaries as M
 from ledgerloom.sources.sql import read_within
 
@@ -113,3 +113,17 @@ def test_slow_queries_are_stopped(spark):
         time.sleep(0.2)
     assert not tracker.getActiveJobsIds() and not tracker.getActiveStageIds()
     assert read_within(spark, "SELECT 1 AS x", 3, 60) == ([(1,)], False)
+
+
+def test_label_metrics_equal_metrics_of_all_pairs(spark):
+    r = random.Random(5)
+    items = [(k, r.choice(["a", "b", "c", None])) for k in range(60)] + [(60, "alone")]
+    ranked = [(q, item, rank) for q in [*range(0, 60, 5), 60] for rank, item in enumerate(r.sample([k for k in range(61) if k != q], 15), 1)]
+    labels = spark.createDataFrame(items, "item long, label string")
+    queries = labels.where("item % 5 = 0").withColumnRenamed("item", "query")
+    near = spark.createDataFrame(ranked, "query long, item long, rank int")
+    pairs = queries.join(labels, "label").where("query <> item").select("query", "item")
+    want = sorted(map(tuple, metrics.ranking_metrics(near, pairs, 10).collect()))
+    assert sorted(map(tuple, metrics.label_metrics(near, queries, labels, 10).collect())) == want and len(want) > 5
+    assert metrics.label_metrics(near.limit(0), queries, labels, 10).count() == len(want)
+    assert metrics.label_metrics(near, queries.limit(0), labels.limit(0), 10).count() == 0
