@@ -180,12 +180,16 @@ def covered(text: Column, spans: Column, marker: Callable[[Column], Column]) ->
 
 
 class _Tables(HTMLParser):
-    """One pass over a page that keeps a stack of open tables. A table that ends is laid out and becomes text of the cell around it."""
+    """One pass over a page that keeps a stack of open tables. A table that ends is laid out and becomes text of the cell around it.
+
+    What is outside of tables, and text within them, is taken from the source as it stands, never built again from its parts.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
         self.page: list[str] = []
         self.open: list[list[list[list[str]]]] = []  # tables, rows, cells, parts
+        self.keep = True  # whether the piece of the source that is being handled stays
 
     def put(self, text: str) -> None:
         if not self.open:
@@ -193,29 +197,35 @@ class _Tables(HTMLParser):
         elif self.open[-1] and self.open[-1][-1]:
             self.open[-1][-1][-1].append(text)
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Every piece of the source passes here once, after its handler."""
+        if self.keep:
+            self.put(self.rawdata[i:j])
+        self.keep = not self.open
+        return super().updatepos(i, j)
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "table":
             self.open.append([])
+            self.keep = False
         elif self.open and tag == "tr":
             self.open[-1].append([])
         elif self.open and tag in ("td", "th"):
             if not self.open[-1]:
                 self.open[-1].append([])
             self.open[-1][-1].append([])
-        elif not self.open:
-            self.page.append(self.get_starttag_text())
-        elif tag == "br":
+        elif self.open and tag == "br":
             self.put(" ")
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.put(" " if self.open else self.get_starttag_text())
+        if self.open:
+            self.put(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.open:
-            self.page.append(f"</{tag}>")
-        elif tag == "table":
+        if self.open and tag == "table":
             self.put_table(self.open.pop())
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.keep = False
+        elif self.open and tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
             self.put(" ")
 
     def put_table(self, table: list[list[list[str]]]) -> None:
@@ -226,21 +236,13 @@ class _Tables(HTMLParser):
             self.put("\n" + "\n".join([lines[0], f"|{' --- |' * width}", *lines[1:]]) + "\n")
 
     def handle_data(self, data: str) -> None:
-        self.put(data)
+        self.keep = True
 
     def handle_entityref(self, name: str) -> None:
-        self.put(f"&{name};")
+        self.keep = True
 
     def handle_charref(self, name: str) -> None:
-        self.put(f"&#{name};")
-
-    def handle_comment(self, data: str) -> None:
-        if not self.open:
-            self.page.append(f"<!--{data}-->")
-
-    def handle_decl(self, decl: str) -> None:
-        if not self.open:
-            self.page.append(f"<!{decl}>")
+        self.keep = True
 
 
 def tables_as_markdown(html: str) -> str:
@@ -248,6 +250,7 @@ def tables_as_markdown(html: str) -> str:
     parser = _Tables()
     parser.feed(html)
     parser.close()
+    parser.put(parser.rawdata)  # of a script that never ends
     while parser.open:
         parser.put_table(parser.open.pop())
     return "".join(parser.page)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import spans as S
@@ -86,3 +87,12 @@ def test_nested_tables():
     assert S.tables_as_markdown("a<table></table>b<table><tr><td>c") == "ab\n| c |\n| --- |\n"
     plain = '<!DOCTYPE html><a href="x">&amp;&#39;</a><!-- <table> --><br/><script>if (a < b) {}</script>'
     assert S.tables_as_markdown(plain) == plain and S.tables_as_markdown("") == ""
+
+
+@pytest.mark.parametrize("plain", ["AT&T &amp &lt;b> &#65 &copy", "<DIV>a</DIV><p>b</P ></ b></>c", "<?php x ?><!-- a --!>b<!doctype HTML ><![CDATA[c]]>d", "<BR/ ><SCRIPT>if (a < b) {}</SCRIPT >", "\r\nx\ry", "<![if x]>y<![endif]>"])
+def test_pages_are_kept_as_they_are(plain):
+    """Not parsed and built again: case, entities without a semicolon and odd markup stay, before and behind a table and in its text."""
+    assert S.tables_as_markdown(plain) == plain
+    assert S.tables_as_markdown(f"{plain}<table><tr><td>A&T &#65 &lt;</table>{plain}") == f"{plain}\n| A&T &#65 &lt; |\n| --- |\n{plain}"
+    for open_end in ("<script>if (a < b) {}", "a <", "a <b", "&#", "</"):
+        assert S.tables_as_markdown(plain + open_end) == plain + open_end
