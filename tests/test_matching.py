@@ -2,15 +2,21 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators import graph, matching, relational, retrieval
+from ledgerloom.plans import registry
 from ledgerloom.sources import text as S
 from ledgerloom.sources.sql import read_only
 
+from .oracle import rows as canonical
+
+registry.load_all()
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -129,3 +135,33 @@ def test_ad_hoc_sql_refuses(spark, sql):
 
 def test_ad_hoc_sql_redacts(spark):
     assert read_only(spark, "SELECT 'x; a@b.co' AS t -- note", 3).first().t == "x; [EMAIL]"
+
+
+def test_vector_top_k_against_all_pairs(spark, monkeypatch):
+    """Copies, near ties, no length, NaN, nulls and other sizes, with several blocks of queries and parts; pairs are never rows."""
+    monkeypatch.setattr(retrieval, "QUERY_CELL", 40)
+    monkeypatch.setattr(retrieval, "ITEM_CELL", 150)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(30, 8)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[r.integers(30)] + (r.normal(size=8) * r.choice([0, 1e-7, 1e-3, 1])).astype(np.float32)]) for i in range(900)]
+    rows += [(900, [0.0] * 8), (901, None), (902, [1.0, None] + [0.5] * 6), (903, [float("nan")] + [1.0] * 7), (904, [1.0] * 5), (905, [1e-30] * 8), (906, [1e30] * 8)]
+    df = spark.createDataFrame(rows, "item long, vector array<float>")
+    queries = df.where("item % 9 = 0 OR item >= 900").withColumnRenamed("item", "query")
+    score = F.round(F.when(F.col("n") == 0, 0.0).otherwise(retrieval.dot(F.col("v"), F.col("vector")) / F.nullif(F.col("n"), F.lit(0.0))), 6)
+    length = lambda c: F.sqrt(retrieval.dot(F.col(c), F.col(c)))
+    pairs = queries.withColumnRenamed("vector", "v").join(df, F.col("query") != F.col("item")).withColumn("n", length("v") * length("vector"))
+    for k in (3, 12):
+        want = relational.top_per_group(pairs.select("query", "item", F.when(F.size("v") == F.size("vector"), score).alias("score")), ["query"], k, F.desc("score"), F.col("item"))
+        found = retrieval.vector_top_k(queries, df, k)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+        assert sorted(map(repr, found.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_weighted_hybrid_rounds_halves_as_its_sql(spark, tmp_path):
+    x = spark.createDataFrame([(20, [1.0, 0.0], 1), (21, [0.40743, (1 - 0.40743**2) ** 0.5], 2), (22, [0.1, 0.2], 1)], "vec_id long, embedding array<double>, label int")
+    x.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    got = registry.QUERIES["weighted_hybrid"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    assert canonical(got) == canonical(con.execute(registry.ORACLE_SQL["weighted_hybrid"]).df())
+    assert 0.387059 in set(got["score"])
