@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators import matching as M
+from ledgerloom.operators.graph import written
 from ledgerloom.plans.registry import query, table
 
 #: Parts of odd keys are expected, those of even keys predicted, within a brand.
@@ -33,8 +34,9 @@ def threshold_join(spark, sf_dir):
  last AS (SELECT brand, arg_max(ls, k) AS ls, arg_max(rs, k) AS rs FROM g GROUP BY 1) SELECT brand, unnest(ls) AS expected, unnest(rs) AS predicted FROM last""")
 def greedy_matching(spark, sf_dir):
     """One-to-one, best score first."""
-    pairs = M.threshold_pairs(*_sides(spark, sf_dir, "p_brand"), ["p_brand"], 0.4)
-    return M.greedy_assignment(pairs, "p_brand").select(F.col("p_brand").alias("brand"), F.col("left").alias("expected"), F.col("right").alias("predicted"))
+    left, right = (written(M.token_classes(df, ["p_brand"], key)) for df, key in zip(_sides(spark, sf_dir, "p_brand"), ("left", "right")))
+    pairs = M.class_pairs(M.classes(left, ["p_brand"], "left"), M.classes(right, ["p_brand"], "right"), ["p_brand"], 0.4)
+    return M.greedy_classes(pairs, left, right, ["p_brand"]).select(F.col("p_brand").alias("brand"), F.col("left").alias("expected"), F.col("right").alias("predicted"))
 
 
 @query(f"""WITH RECURSIVE {PARTS}, p AS (SELECT a.p_brand AS brand, a.p_partkey AS l, b.p_partkey AS r, CASE WHEN a.p_size = b.p_size AND list_sort(a.w) = list_sort(b.w) THEN 1000000 ELSE CASE WHEN a.p_size = b.p_size THEN 1000 ELSE 0 END + len(list_intersect(a.w, b.w)) END AS score FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0),
@@ -44,15 +46,18 @@ def greedy_matching(spark, sf_dir):
  last AS (SELECT brand, arg_max(ls, k) AS ls, arg_max(rs, k) AS rs FROM g GROUP BY 1) SELECT brand, unnest(ls) AS question, unnest(rs) AS ambiguity FROM last""")
 def tiered_matching(spark, sf_dir):
     """Questions to open points of a brand: the exact key first, then the same field (size), then shared words; none without any."""
-    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.array_sort(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("w"), F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("raw"))
-    a = parts.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("left"), F.col("p_size").alias("size_a"), F.col("w").alias("x"), F.array_distinct("raw").alias("raw_a"))
-    b = parts.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("right"), F.col("p_size").alias("size_b"), F.col("w").alias("y"), F.array_distinct("raw").alias("raw_b"))
-    by_word = a.select("p_brand", "left", F.explode("x").alias("t")).join(b.select("p_brand", "right", F.explode("y").alias("t")), ["p_brand", "t"]).select("p_brand", "left", "right")
-    by_field = a.join(b, (a["p_brand"] == b["p_brand"]) & (F.col("size_a") == F.col("size_b"))).select(a["p_brand"], "left", "right")
-    met = by_word.unionByName(by_field).distinct().join(a, ["p_brand", "left"]).join(b, ["p_brand", "right"])
-    same = F.col("size_a") == F.col("size_b")
-    score = F.when(same & (F.sort_array("x") == F.sort_array("y")), 1000000).otherwise(F.when(same, 1000).otherwise(0) + F.size(F.array_intersect("x", "y")))
-    return M.greedy_assignment(met.withColumn("score", score), "p_brand").select(F.col("p_brand").alias("brand"), F.col("left").alias("question"), F.col("right").alias("ambiguity"))
+    sides = _sides(spark, sf_dir, "p_brand", "p_size")
+    fields = [written(M.token_classes(df, ["p_brand", "p_size"], key)) for df, key in zip(sides, ("left", "right"))]
+    x, y = (M.classes(df, ["p_brand", "p_size"], key) for df, key in zip(fields, ("left", "right")))
+    # Within a field all pairs count, the exact key most; behind that one side of each field is used up, so only words are left to score.
+    met = x.withColumnRenamed("tokens", "x").join(y.withColumnRenamed("tokens", "y"), ["p_brand", "p_size"])
+    score = F.when(F.col("x") == F.col("y"), 1000000).otherwise(F.size(F.array_intersect("x", "y")))
+    first = written(M.greedy_classes(met.select("p_brand", "p_size", "left", "right", score.alias("score")), *fields, ["p_brand", "p_size"]))
+    rest = [written(M.token_classes(df.join(first, key, "left_anti"), ["p_brand"], key)) for df, key in zip(sides, ("left", "right"))]
+    a, b = (M.classes(df, ["p_brand"], key).select("p_brand", key, F.explode("tokens").alias("t")) for df, key in zip(rest, ("left", "right")))
+    shared = a.join(b, ["p_brand", "t"]).groupBy("p_brand", "left", "right").agg(F.count("*").alias("score"))
+    taken = first.select("p_brand", "left", "right").unionByName(M.greedy_classes(shared, *rest, ["p_brand"]))
+    return taken.select(F.col("p_brand").alias("brand"), F.col("left").alias("question"), F.col("right").alias("ambiguity"))
 
 
 @query(f"WITH {PARTS}, a AS (SELECT * FROM t WHERE p_partkey % 2 = 1), b AS (SELECT * FROM t WHERE p_partkey % 2 = 0) SELECT p_partkey FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.p_brand = a.p_brand AND b.p_size = a.p_size AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))")

@@ -165,3 +165,25 @@ def test_weighted_hybrid_rounds_halves_as_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     assert canonical(got) == canonical(con.execute(registry.ORACLE_SQL["weighted_hybrid"]).df())
     assert 0.387059 in set(got["score"])
+
+
+def test_classes_take_what_members_take(spark):
+    """Copies of a few sets: pairs of classes alone are formed, and the greedy choice is the one among all pairs of members."""
+    r = random.Random(4)
+    sets = [[r.choice("abcdef") for _ in range(3)] for _ in range(9)]
+    draw = lambda odd: [(r.choice("pq"), 2 * i + odd, r.choice(sets)) for i in range(80)]
+    left, right = draw(1), draw(0)
+    a, b = (spark.createDataFrame(rows, f"b string, {key} long, tokens array<string>") for rows, key in ((left, "left"), (right, "right")))
+    x, y = (matching.token_classes(df, ["b"], key) for df, key in ((a, "left"), (b, "right")))
+    pairs = graph.written(matching.class_pairs(matching.classes(x, ["b"], "left"), matching.classes(y, ["b"], "right"), ["b"], 0.4))
+    every = [(k, i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for k, i, s in left for l, j, t in right if k == l]
+    every = sorted((p for p in every if p[3] >= 0.4), key=lambda p: (-p[3], p[1], p[2]))
+    assert pairs.count() <= 2 * 81 < len(every)
+    used, want = set(), set()
+    for k, i, j, _ in every:
+        if i not in used and j not in used:
+            used |= {i, j}
+            want.add((k, i, j))
+    got = [tuple(p) for p in matching.greedy_classes(pairs, x, y, ["b"]).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert matching.greedy_classes(pairs.limit(0), x, y, ["b"]).count() == 0
