@@ -185,12 +185,14 @@ def chunk_overlap(spark, sf_dir):
 @query()
 def byte_budget_split(spark, sf_dir):
     """Greedy lines of at most 1000 bytes; a longer line is cut between code points. Joined, the parts give the text."""
+    udfs.small_batches(spark)
     rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(udfs.split_bytes(1000)("text")).alias("position", "part"))
     return rows.select("doc_id", "position", F.octet_length("part").alias("bytes"), F.md5("part").alias("digest"))
 
 
 @query()
 def nfkc_keys(spark, sf_dir):
+    udfs.small_batches(spark)
     return _docs(spark, sf_dir).select("doc_id", F.md5(udfs.nfkc_key("text")).alias("digest"))
 
 

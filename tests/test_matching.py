@@ -187,3 +187,12 @@ def test_classes_take_what_members_take(spark):
     got = [tuple(p) for p in matching.greedy_classes(pairs, x, y, ["b"]).collect()]
     assert set(got) == want and len(got) == len(want)
     assert matching.greedy_classes(pairs.limit(0), x, y, ["b"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_budget_split", "nfkc_keys"])
+def test_whole_texts_go_to_python_in_small_batches(spark, name):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, "10000")
+    spark.conf.unset(size)
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(rows)) == 2000 and int(spark.conf.get(size)) == 4 << 20
