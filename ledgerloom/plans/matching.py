@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -82,13 +81,10 @@ def budget_skip_fit(spark, sf_dir):
  o AS (SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM x), k AS (SELECT doc_id, i, t, before, list_filter(range(least(length(t), length(before)), 15, -1), lambda k: substr(t, 1, 16) = substr(before, length(before) - k + 1, 16) AND left(t, k) = right(before, k))[1] AS k FROM o)
  SELECT doc_id, md5(string_agg(CASE WHEN before IS NULL THEN t WHEN k IS NULL THEN chr(10) || t ELSE substr(t, k + 1) END, '' ORDER BY i)) AS digest FROM k GROUP BY 1""")
 def chunk_overlap_join(spark, sf_dir):
-    """Chunks joined back into their text; each is compared with the one before it, so no text is folded whole."""
-    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(X.chunks(F.col("text"), 256, 64), lambda c: c.text)).alias("i", "t"))
-    pairs = chunks.withColumn("before", F.lag("t").over(Window.partitionBy("doc_id").orderBy("i")))
-    joined = M.join_chunks(F.array("before", "t"))
-    part = F.when(F.col("before").isNull(), F.col("t")).otherwise(F.substring(joined, F.length("before") + 1, F.length(joined)))
-    rows = pairs.select("doc_id", F.struct("i", part.alias("part")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("parts"))
-    return rows.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda x: x.part), "")).alias("digest"))
+    """Chunks joined back into their text; each is compared with the one before it, so no text is folded whole, and none leaves its row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.transform(X.chunks(F.col("text"), 256, 64), lambda c: c.text).alias("chunks"))
+    parts = F.transform("chunks", lambda t, i: F.when(i == 0, t).otherwise(M.added(F.get("chunks", i - 1), t)))
+    return docs.select("doc_id", F.when(F.col("text").isNotNull(), F.md5(F.array_join(parts, ""))).alias("digest"))
 
 
 SUMMARY = r"""s AS (SELECT conv_id * 1000 + turn AS k, conv_id, turn, unnest(l) AS s, unnest(range(len(l))) AS i, len(l) AS n FROM (SELECT *, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM conversations WHERE length(text) > 400)),

@@ -98,6 +98,35 @@ def test_fitting_and_chunks(spark):
     assert one(spark, matching.join_chunks(F.array().cast("array<string>"))) == ""
 
 
+def test_overlap_against_plain_search(spark):
+    """Repeating texts, places that only seem to begin the overlap, characters beyond the basic plane."""
+    r = random.Random(10)
+    pairs = [("", ""), ("a" * 40, "a" * 30), ("abcabcab" * 9, "abcabcabX" * 9), ("abcdabcX" + "abcd" * 2, "abcd" * 2 + "z"), ("😀ab" * 9, "😀ab" * 5), ("xyz", "xyzxyz")]
+    for _ in range(300):
+        a, b = ("".join(r.choice(["ab", "a", "😀"]) for _ in range(r.randrange(30))) for _ in range(2))
+        pairs.append((a + b[: r.randrange(20)] * r.randrange(1, 3), b))
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k long, a string, b string")
+    got = {x.k: x.n for x in df.select("k", matching.overlap(F.col("a"), F.col("b"), 4).alias("n")).collect()}
+    want = {k: next((n for n in range(min(len(a), len(b)), 3, -1) if a.endswith(b[:n])), 0) for k, (a, b) in enumerate(pairs)}
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_chunks_are_cut_once_and_joined_in_their_row(spark, tmp_path):
+    texts = ["", "x", "😀y" * 50, "abcdefgh\n" * 40, None, "z" * 256, "z" * 257]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for size, shared in ((256, 64), (7, 3), (10, 0), (4, 2)):
+        got = {x.k: x.c and [(c.position, c.text) for c in x.c] for x in df.select("k", X.chunks(F.col("t"), size, shared).alias("c")).collect()}
+        last = lambda t: max(0, -((shared - len(t)) // (size - shared)) - 1)
+        assert got == {k: [(0, None)] if t is None else [(i, t[i * (size - shared) :][:size]) for i in range(last(t) + 1)] for k, t in enumerate(texts)}
+    df.withColumnsRenamed({"k": "doc_id", "t": "text"}).write.parquet(str(tmp_path / "documents.parquet"))
+    query = registry.QUERIES["chunk_overlap_join"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert canonical(query.toPandas()) == canonical(con.execute(registry.ORACLE_SQL["chunk_overlap_join"]).df())
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_diffs_logs_and_ddl(spark):
     diff = "--- a/x\r\n+++ b/y.ts\r\n@@ -1 +3,0 @@\r\n+++ b\r\n@@ -1,2 +9 @@ f\r\n"
     assert [tuple(h) for h in one(spark, S.diff_hunks(F.lit(diff)))] == [("y.ts", 3, 3), ("y.ts", 9, 9)]
