@@ -31,24 +31,22 @@ TREES = f"""src AS (SELECT event_id, event_type, (props->>'$.k')::BIGINT AS get_
  d AS (SELECT event_id, path, max(leaf) FILTER (WHERE side = 'a') AS before, max(leaf) FILTER (WHERE side = 'b') AS after FROM l GROUP BY 1, 2)"""
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("get_k"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    docs = rows.select("event_id", F.expr(_filled(BEFORE)).alias("a"), F.expr(AFTER_SQL).alias("b"))
-    return docs, N.leaves(docs, "event_id", "a"), N.leaves(docs, "event_id", "b")
+    return rows.select("event_id", F.expr(_filled(BEFORE)).alias("a"), F.expr(AFTER_SQL).alias("b"))
 
 
 @query(f"WITH {TREES} SELECT event_id, path, before, after FROM d WHERE before IS DISTINCT FROM after")
 def json_path_diff(spark, sf_dir):
     """Leaves that differ; the order of keys makes no difference at any depth, that of array items does."""
-    _, before, after = _snapshots(spark, sf_dir)
-    return N.path_diff(before, after, "event_id")
+    return N.document_diff(_snapshots(spark, sf_dir), "event_id", "a", "b")
 
 
 @query(f"WITH {TREES}, s AS (SELECT event_id, count(*) FILTER (WHERE before IS DISTINCT FROM after) AS n, count(*) FILTER (WHERE before IS NOT NULL AND before IS DISTINCT FROM after) AS lost FROM d GROUP BY 1) SELECT event_id, b IS NULL AS malformed, b IS NOT NULL AND n = 0 AS equal, b IS NOT NULL AND lost = 0 AS part FROM v JOIN s USING (event_id)")
 def json_deep_subset(spark, sf_dir):
     """Whether the first snapshot equals the second, and whether it is part of it: objects may have more keys there, arrays must agree."""
-    docs, before, after = _snapshots(spark, sf_dir)
-    lost = N.path_diff(before, after, "event_id").groupBy("event_id").agg(F.count("*").alias("n"), F.count("before").alias("lost"))
+    docs = _snapshots(spark, sf_dir)
+    lost = N.document_diff(docs, "event_id", "a", "b").groupBy("event_id").agg(F.count("*").alias("n"), F.count("before").alias("lost"))
     rows = docs.select("event_id", F.try_parse_json("b").isNull().alias("malformed")).join(lost, "event_id", "left")
     none = lambda c: ~F.col("malformed") & (F.coalesce(c, F.lit(0)) == 0)
     return rows.select("event_id", "malformed", none(F.col("n")).alias("equal"), none(F.col("lost")).alias("part"))
