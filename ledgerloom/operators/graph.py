@@ -42,11 +42,11 @@ def call_graph(edges: DataFrame, roots: DataFrame, depth: int, most: int) -> Dat
     """``root, node, depth, truncated``: what each of ``roots(root)`` reaches along ``edges(src, dst)`` in ``depth`` steps, ``most`` nodes at most.
 
     A level takes its new nodes in the order of their keys until the root's budget is used; then the root is ``truncated`` and goes no
-    further. The root counts as a node. No node of a level is beyond the first ``2 most`` of an edge's start, since ``most`` at most are known,
-    so a start with very many edges, and a root with a very wide level, stay bounded. Null keys are no nodes.
+    further. The root counts as a node. No node of a level is beyond the first ``most`` of an edge's start: of these no more are known than
+    the root has used, so what is left fills its budget. A start with very many edges, and a root with a very wide level, stay bounded. Null keys are no nodes.
     """
     first = Window.partitionBy("src").orderBy("dst")
-    near = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * most).select("src", "dst")
+    near = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).select("src", "dst")
     near = written(near)
     seen = written(roots.where("root IS NOT NULL").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     old = [near]

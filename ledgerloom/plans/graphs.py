@@ -12,8 +12,10 @@ from ledgerloom.plans.registry import query, table
 EDGES = "e AS (SELECT p AS src, 1000000 + s AS dst, 0.5 + (p % 6) / 10.0::DOUBLE AS weight, CASE WHEN p % 2 = 0 THEN 'imports' ELSE 'caller' END AS relation FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) UNION ALL SELECT 1000000 + s, p, 0.5 + (p % 6) / 10.0::DOUBLE, 'caller' FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem))"
 
 
-def _edges(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+def _edges(spark, sf_dir, repeated=False):
+    """The edges, each once, or as often as the table has them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    pairs = rows if repeated else rows.distinct()
     part, supplier, weight = F.col("l_partkey"), F.col("l_suppkey") + 1000000, 0.5 + (F.col("l_partkey") % 6) / 10
     out = pairs.select(part.alias("src"), supplier.alias("dst"), weight.alias("weight"), F.when(part % 2 == 0, "imports").otherwise("caller").alias("relation"))
     return out.unionByName(pairs.select(supplier.alias("src"), part.alias("dst"), weight.alias("weight"), F.lit("caller").alias("relation")))
@@ -91,4 +93,4 @@ def _levels(depth: int, most: int) -> str:
 def call_graph_budget(spark, sf_dir):
     """Every twentieth part (the stated set of roots) with what it reaches in three steps, 60 nodes at most."""
     roots = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").cast("long").alias("root"))
-    return G.call_graph(_edges(spark, sf_dir), roots, 3, 60)
+    return G.call_graph(_edges(spark, sf_dir, repeated=True), roots, 3, 60)

@@ -174,3 +174,14 @@ def test_call_graph_against_a_walk(spark):
                 seen |= {b: level for b in new[: most - len(seen)]}
             want |= {(root, b, d, len(seen) >= most) for b, d in seen.items()}
         assert {tuple(x) for x in G.call_graph(edges, roots, depth, most).select("root", "node", "depth", "truncated").collect()} == want
+
+
+def test_call_graph_keeps_no_more_of_a_start_than_the_budget(spark, monkeypatch):
+    from ledgerloom.operators import graph as G
+
+    tables, plain = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: tables.append((df.columns, (done := plain(df)).count())) or done)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 30)] + [(1, k) for k in range(30)] * 2 + [(2, k) for k in range(40, 50)], "src long, dst long")
+    got = sorted(map(tuple, G.call_graph(edges, spark.createDataFrame([(0,), (1,)], "root long"), 3, 5).collect()))
+    assert got == [(0, 0, 0, True), *((0, k, 1, True) for k in (1, 2, 3, 4)), (1, 0, 1, True), (1, 1, 0, True), (1, 2, 1, True), (1, 3, 1, True), (1, 4, 1, True)]
+    assert tables[0] == (["src", "dst"], 15)
