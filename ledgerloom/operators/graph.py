@@ -90,23 +90,28 @@ def twins(members: DataFrame, least: float, least_size: int) -> DataFrame:
 
     Keys of equal sets are one before anything is paired: a ``member`` row names each key's representative (the smallest
     of them), a ``pair`` row two representatives. An inverted index with a prefix filter: a pair that similar shares
-    an item among the rarest ``n - ceil(t n) + 1`` of each, so only those are indexed; pairs whose sizes, or what follows
-    the shared items, leave too few to share are dropped before they are verified.
+    an item among the rarest ``n - ceil(t n) + 1`` of each, so only those are indexed; pairs whose sizes, what follows
+    the shared items, or 64 bits of each set leave too few to share are dropped where they meet, before they are verified.
     """
-    sets = members.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items")).where(F.size("items") >= least_size)
-    keyed = written(sets.withColumn("digest", F.sha2(F.array_join(F.col("items").cast("array<string>"), "\0"), 256)))
+    sets = members.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items")).where(F.size("items") >= least_size)
+    keyed = written(sets.withColumn("digest", F.unhex(F.sha2(F.array_join(F.col("items").cast("array<string>"), "\0"), 256))))
     first = written(keyed.groupBy("digest").agg(F.min("key").alias("rep")))
     member = keyed.select("key", "digest").join(first, "digest").select(F.lit("member").alias("kind"), F.col("key").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
     own = keyed.join(first, F.col("key") == F.col("rep"), "left_semi").select("key", F.explode("items").alias("item"))
     rarity = own.groupBy("item").agg(F.count("*").alias("df"))
     ranked = own.join(rarity, "item").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
-    listed = written(ranked.select("key", F.size("s").alias("size"), F.transform("s", lambda x: x["item"]).alias("items")))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    bits = F.aggregate("s", F.lit(0).cast("long"), lambda have, x: have.bitwiseOR(bit(x["item"])))
+    listed = written(ranked.select("key", F.size("s").alias("size"), bits.alias("bits"), F.transform("s", lambda x: x["item"]).alias("items")))
     most = (F.col("size") - F.ceil(F.col("size") * least) + 1).cast("int")
-    prefix = listed.select("key", "size", F.posexplode(F.slice("items", F.lit(1), most)).alias("at", "item"))
-    b = prefix.withColumnsRenamed({"key": "b", "size": "size_b", "at": "at_b"})
+    prefix = listed.select("key", "size", "bits", F.posexplode(F.slice("items", F.lit(1), most)).alias("at", "item"))
+    b = prefix.withColumnsRenamed({"key": "b", "size": "size_b", "bits": "bits_b", "at": "at_b"})
     sizes = (F.col("a") < F.col("b")) & (F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
     # All that two sets can still share: the items from the shared one on.
     left = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b")) + F.least("at", "at_b")
+    # A bit that the other lacks is an item at least that it lacks.
+    alike = lambda n, x, y: F.col(n) - F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    left = F.least(left, alike("size", "bits", "bits_b"), alike("size_b", "bits_b", "bits"))
     met = prefix.withColumnRenamed("key", "a").join(b, "item").where(sizes & (left * (1 + least) >= least * (F.col("size") + F.col("size_b")) - 1e-9)).select("a", "b").distinct()
     side = lambda k, x: listed.select(F.col("key").alias(k), F.col("items").alias(x))
     both = met.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("hit", F.size(F.array_intersect("x", "y")))

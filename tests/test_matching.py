@@ -87,6 +87,24 @@ def test_twins_of_equal_and_near_sets(spark):
     assert got == {("member", 1, 1, 1.0), ("member", 2, 1, 1.0), ("member", 9, 1, 1.0), ("member", 3, 3, 1.0), ("member", 4, 4, 1.0), ("pair", 1, 3, 0.714286)}
 
 
+def test_twins_against_all_pairs(spark, monkeypatch):
+    """Random sets, larger ones than there are bits too; of 200 sets that share one rare item alone no pair is verified."""
+    r = random.Random(14)
+    sets = {k: {r.randrange(12) for _ in range(r.randrange(1, 9))} for k in range(80)} | {k: {*range(1000, 1100)} - {r.randrange(1000, 1100) for _ in range(30)} for k in range(100, 110)}
+    df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in [*s, min(s)]], "key long, item long")
+    got = {(x.kind, x.a, x.b, x.similarity) for x in graph.twins(df, 0.6, 2).collect()}
+    sets = {k: s for k, s in sets.items() if len(s) > 1}
+    rep = {k: min(j for j in sets if sets[j] == s) for k, s in sets.items()}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {("member", k, j, 1.0) for k, j in rep.items()} | {("pair", a, b, round(share(a, b), 6)) for a in set(rep.values()) for b in set(rep.values()) if a < b and share(a, b) >= 0.6}
+    assert got - want == set() and want - got == set()
+    assert len(got) > len(sets)
+    apart = spark.createDataFrame([(k, x) for k in range(200) for x in (-1, *range(10 * k, 10 * k + 4))], "key long, item long")
+    met = []
+    monkeypatch.setattr(type(apart), "distinct", lambda self, plain=type(apart).distinct: met.append(self) or plain(self))
+    assert graph.twins(apart, 0.2, 2).where("kind = 'pair'").count() == 0 and met[-1].count() < 12000  # of 19,900
+
+
 def test_fitting_and_chunks(spark):
     items = F.array(*[F.lit(x) for x in ("aaaa", "bbbbbb", "cc", "d")])
     assert one(spark, matching.fitting(items, lambda x: F.length(x), 7)) == ["aaaa", "cc", "d"]
