@@ -54,8 +54,7 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     is taken, else the first. Quotes of under LEAST_WORDS words are found nowhere; null quotes and texts neither. Case and
     punctuation must agree; the first and the last word may be parts of words.
 
-    Long quotes meet texts by a join on KEY_WORDS inner words. Those too short for that are a stated query set, looked for in every
-    text; neither is collected.
+    Quotes meet texts by a join on their inner words, KEY_WORDS of them at most; of the quotes only the numbers of such words are collected.
     """
     word = F.split(F.trim(flat(F.col("quote"))), " ")
     quotes = quotes.withColumn("words", word).where(F.size("words") >= LEAST_WORDS)
@@ -63,15 +62,19 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     quotes = quotes.select("quote_id", "words", F.array_join("words", " ").alias("needle"), F.array_join(quoted, f"[{SPACES}]+").alias("pattern"))
     # The inner words of a quote are whole words of the text: hashes of words, then of KEY_WORDS such in a row.
     hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    key = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(KEY_WORDS)])
-    long = quotes.where(F.size("words") >= KEY_WORDS + 2).select("quote_id", hashes("words").alias("h")).select("quote_id", key(F.col("h"), F.lit(1)).alias("key"))
-    grams = docs.select("doc_id", hashes(F.split(flat(F.col("text")), " ")).alias("h")).select("doc_id", F.explode_outer(F.transform("h", lambda _, i: key(F.col("h"), i))).alias("key"))
-    met = written(grams.join(small(long), "key").select("doc_id", "quote_id").distinct())
+    # Short quotes have fewer inner words, two at least; their number is a quote's kind, and each kind meets the texts by keys of its length.
+    inner = F.least(F.size("words") - 2, F.lit(KEY_WORDS))
+    keyed = quotes.select("quote_id", inner.alias("n"), hashes("words").alias("h"))
+    key = lambda h, i, n: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
+    kinds = sorted(r.n for r in keyed.select("n").distinct().collect()) or [KEY_WORDS]
+    sought = keyed.select("quote_id", "n", F.coalesce(*[F.when(F.col("n") == n, key(F.col("h"), F.lit(1), n)) for n in kinds]).alias("key"))
+    keys = lambda n: F.struct(F.lit(n).alias("n"), F.transform("h", lambda _, i: key(F.col("h"), i, n)).alias("keys"))
+    words = docs.select("doc_id", hashes(F.split(flat(F.col("text")), " ")).alias("h"))
+    grams = words.select("doc_id", F.explode(F.array(*map(keys, kinds))).alias("x")).select("doc_id", "x.n", F.explode_outer("x.keys").alias("key"))
+    met = written(grams.join(small(sought), ["n", "key"]).select("doc_id", "quote_id").distinct())
     pairs = docs.join(small(met), "doc_id").join(small(quotes), "quote_id").where(F.contains(flat(F.col("text")), F.col("needle")))
-    flattened = docs.withColumn("flat", flat(F.col("text")))
-    short = flattened.join(small(quotes.where(F.size("words") < KEY_WORDS + 2)), F.contains("flat", "needle"))
     columns = ["doc_id", "quote_id", "text", "section_start", "section_end", "pattern"]
-    return pairs.select(columns).unionByName(short.select(columns)).select("doc_id", "quote_id", _place().alias("p")).select("doc_id", "quote_id", "p.start", "p.end")
+    return pairs.select(columns).select("doc_id", "quote_id", _place().alias("p")).select("doc_id", "quote_id", "p.start", "p.end")
 
 
 def _place() -> Column:

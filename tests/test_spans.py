@@ -96,3 +96,12 @@ def test_pages_are_kept_as_they_are(plain):
     assert S.tables_as_markdown(f"{plain}<table><tr><td>A&T &#65 &lt;</table>{plain}") == f"{plain}\n| A&T &#65 &lt; |\n| --- |\n{plain}"
     for open_end in ("<script>if (a < b) {}", "a <", "a <b", "&#", "</"):
         assert S.tables_as_markdown(plain + open_end) == plain + open_end
+
+
+def test_short_quotes_meet_texts_by_their_words(spark):
+    """No text is compared with every quote, however short the quotes are."""
+    docs = spark.createDataFrame([(k, f"w{k} a b c d e f", 0, 20) for k in range(50)], "doc_id long, text string, section_start int, section_end int")
+    quotes = spark.createDataFrame([(k, f"w{k} a b c") for k in range(50)], "quote_id long, quote string")
+    found = S.locate_quotes(docs, quotes)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.quote_id) for r in found.collect()} == {(k, q) for k in range(50) for q in range(50) if f"w{k}".endswith(f"w{q}")}
