@@ -25,11 +25,13 @@ from ledgerloom.llm.common import documents_of, small_batches
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Every match of the split pattern lies within one match of this, and splits alike on its own.
 SEGMENT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: White space of more than one byte.
+WIDE = re.compile(f"(?![\t-\r ])[{SPACE}]")
 #: Segments and pieces, prefixes, and pairs of tokens that a task remembers before it starts anew; they bound its memory.
 MEMO, PREFIXES, PAIRS = 150_000, 100_000, 200_000
-#: Rows coded at once.
-ROWS = 256
 MARKS = (4, 7, 10, 13)
+#: Pieces of at most SHORT bytes (three words of 8) are coded side by side, SIDE at once; answers about pairs that are kept meanwhile, a power of two.
+SHORT, SIDE, ANSWERS = 24, 1 << 15, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,6 +40,179 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def last_merges(ranks: dict[bytes, int]) -> np.ndarray | None:
+    """The two tokens that merge last in every token, by id (a byte, or an id without token: itself twice).
+
+    None if some token does not come out of its own bytes by merges of lower ranks.
+    """
+    get, none = ranks.get, 1 << 60
+    out = np.arange(max(ranks.values()) + 1, dtype=np.int64).repeat(2).reshape(-1, 2)
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        costs = [get(token[i : i + 2], none) for i in range(len(token) - 1)]
+        while len(parts) > 2:
+            if (low := min(costs)) >= rank:
+                return None
+            i = costs.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if len(parts) == 2:
+            out[rank] = [get(x, none) for x in parts]
+            if out[rank].max() >= rank:
+                return None
+    return out
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """For every place the 8 bytes that end there as one number, the last byte lowest; bytes before the first are 0."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(min(8, len(data))):
+        out[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+class ShortPieces:
+    """The prefix step for many short pieces side by side: each prefix length is one step over all pieces that reach it."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: np.ndarray) -> None:
+        self.left, self.right = merges[:, 0].copy(), merges[:, 1].copy()
+        merged = np.flatnonzero(self.left != np.arange(len(merges)))
+        keys = self.left[merged] << 32 | self.right[merged]
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_ranks = keys[order], merged[order]
+        self.sizes = np.ones(len(merges), np.int64)
+        by_size: dict[int, list[bytes]] = {}
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+            if len(token) <= SHORT:
+                by_size.setdefault(len(token), []).append(token)
+        #: By length the tokens in the order of their keys: keys, words and ids.
+        self.tables: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
+        for size, tokens in by_size.items():
+            words = _words(np.frombuffer(b"".join(tokens), np.uint8))
+            own = self.masked(words, np.arange(1, len(tokens) + 1) * size - 1, size)
+            keys = self.key(own)
+            order = np.argsort(keys)
+            ids = np.array([ranks[t] for t in tokens])
+            self.tables[size] = keys[order], [w[order] for w in own], ids[order]
+        self.asked = np.full(ANSWERS, -1)
+        self.answers = np.zeros(ANSWERS, bool)
+
+    @staticmethod
+    def masked(words: np.ndarray, end: np.ndarray, size: int) -> list[np.ndarray]:
+        """The ``size`` bytes up to ``end`` as words."""
+        out = []
+        for k in range(0, size, 8):
+            word = words[end - k]
+            out.append(word if size - k >= 8 else word & np.uint64((1 << 8 * (size - k)) - 1))
+        return out
+
+    @staticmethod
+    def key(words: list[np.ndarray]) -> np.ndarray:
+        """The word itself up to 8 bytes, else a mixture, which does not tell all strings apart."""
+        out = words[0]
+        for word in words[1:]:
+            out = (out ^ word >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) ^ word
+        return out
+
+    def tokens(self, words: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+        """The token that the ``size`` bytes up to each ``end`` are, or -1."""
+        if size not in self.tables:
+            return np.full(len(end), -1)
+        keys, stored, ids = self.tables[size]
+        own = self.masked(words, end, size)
+        key = self.key(own)
+        # Tokens whose keys are equal stand side by side; there is one of each key but for chance.
+        out, at = np.full(len(end), -1), np.searchsorted(keys, key)
+        live = np.arange(len(end))
+        while len(live):
+            near = at < len(keys)
+            near[near] = keys[at[near]] == key[live[near]]
+            live, at = live[near], at[near]
+            same = np.ones(len(live), bool)
+            for a, b in zip(own, stored):
+                same &= a[live] == b[at]
+            out[live[same]] = ids[at[same]]
+            live, at = live[~same], at[~same] + 1
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bytes of a then b encode as just these two.
+
+        Merges are undone from the last one on, and at each state the tokens on both sides of the border must not have
+        merged before what is undone already.
+        """
+        out, live, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), 1 << 60)
+        while len(live):
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            joins = (self.merge_keys[at] == key) & (self.merge_ranks[at] < limit)
+            out[live[joins]] = False
+            left, right = self.left[b], self.right[a]
+            one_a, one_b = right == a, left == b
+            undo_a = ((a > b) & ~one_a) | one_b
+            limit = np.where(undo_a, a, b + 1)
+            a, b = np.where(undo_a, right, a), np.where(undo_a, b, left)
+            more = ~(joins | one_a & one_b)
+            live, limit, a, b = live[more], limit[more], a[more], b[more]
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`apart`, with answers kept."""
+        key = a << 32 | b
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - ANSWERS.bit_length())).view(np.int64)
+        out = self.answers[slot]
+        new = np.flatnonzero(self.asked[slot] != key)
+        if len(new):
+            asked, back = np.unique(key[new], return_inverse=True)
+            out[new] = self.apart(asked >> 32, asked & 0xFFFFFFFF)[back]
+            # Of several new pairs of a slot the last stays, with its own answer.
+            self.asked[slot[new]] = key[new]
+            last = self.asked[slot[new]] == key[new]
+            self.answers[slot[new[last]]] = out[new[last]]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Native 32-bit ids of each piece of 1 to SHORT bytes."""
+        sizes = np.array(list(map(len, pieces)))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        words = _words(np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8))
+        first, longest = np.cumsum(sizes) - sizes, int(sizes[0])
+        last = np.zeros((longest, len(pieces)), np.int64)
+        reach = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+        for end in range(1, longest + 1):
+            open_ = np.arange(reach[end - 1])
+            for size in range(1, end + 1):
+                token = self.tokens(words, first[open_] + (end - 1), size)
+                ok = token >= 0
+                if size < end:
+                    some = np.flatnonzero(ok)
+                    ok[some] = self.compatible(last[end - size - 1, open_[some]], token[some])
+                last[end - 1, open_[ok]] = token[ok]
+                open_ = open_[~ok]
+                if not len(open_):
+                    break
+            else:
+                raise ValueError("a byte has no token")
+        out, n, live, left = np.zeros((len(pieces), longest), np.int32), np.zeros(len(pieces), np.int64), np.arange(len(pieces)), sizes
+        while len(live):
+            token = last[left - 1, live]
+            n[live] += 1
+            out[live, longest - n[live]] = token
+            left = left - self.sizes[token]
+            live, left = live[left > 0], left[left > 0]
+        data, coded = out.tobytes(), [b""] * len(pieces)
+        stop = np.arange(1, len(pieces) + 1) * (4 * longest)
+        for i, a, b in zip(order.tolist(), (stop - 4 * n).tolist(), stop.tolist()):
+            coded[i] = data[a:b]
+        return coded
+
+
 class PrefixBpe:
     """The encoder: ranks, the memo of token pairs that may stand side by side, and the prefix step."""
 
@@ -161,47 +336,109 @@ class PrefixState:
         return self.bpe.walk(self.last)
 
 
+def segments_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The matches of SEGMENT in all ``texts`` (strings without nulls) one after the other as bytes, and for each text and the end the number before it."""
+    texts = texts.cast(pa.string())
+    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
+    first = first - first[0]
+    space = ((data >= 9) & (data <= 13)) | (data == 32)
+    cut = space.copy()
+    # A run of white space leaves its last one apart, which goes to the next word if it is a space.
+    cut[1:] &= ~space[:-1]
+    cut[1:-1] |= space[1:-1] & space[:-2] & ~space[2:]
+    cut[1:] |= ~space[1:] & space[:-1] & (data[:-1] != 32)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    last = first[full + 1] - 1
+    last = last[last > first[full]]
+    cut[last] &= ~space[last] | ~space[last - 1]
+    cut[first[full]] = True
+    if len(data) and data.max() > 127:
+        for k in np.flatnonzero(np.maximum.reduceat(data, first[full]) > 127).tolist():
+            k = int(full[k])
+            if WIDE.search(text := texts[k].as_py()):
+                sizes = [len(x.encode()) for x in SEGMENT.findall(text)]
+                cut[first[k] : first[k + 1]] = False
+                cut[first[k] + np.cumsum([0, *sizes[:-1]])] = True
+    starts = np.flatnonzero(cut)
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(starts, first)
+
+
 class TextEncoder:
-    """Splits a text by the pattern and encodes its pieces, remembering segments and pieces already met.
+    """Splits texts by the pattern and encodes their pieces, remembering segments and pieces already met.
 
     Ids are kept as native 32-bit integers in bytes. One memo holds both, as a piece that stands alone splits into
     itself. A full memo becomes the older one, and what is met again moves from the older to the newer, so at
-    most twice ``MEMO`` are kept.
+    most twice ``MEMO`` are kept, and what one call adds. Short pieces that a call meets first are coded side by side.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merges: np.ndarray | None = None) -> None:
+        """``merges``: :func:`last_merges` of the ranks; without it every piece is coded by itself, with the same ids."""
         self.bpe, self.pattern = PrefixBpe(ranks), regex.compile(pattern)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def piece(self, s: str) -> bytes:
-        known = self.memo.get(s) or self.older.get(s)
-        if known is None:
-            ids = self.bpe.encode_piece(s.encode())
-            known = struct.pack(f"{len(ids)}i", *ids)
-            self.keep(s, known)
-        return known
-
-    def keep(self, s: str, ids: bytes) -> None:
-        if len(s) < 80:
-            self.memo[s] = ids
-            if len(self.memo) >= MEMO:
-                self.older, self.memo = self.memo, {}
-
-    def segment(self, s: str) -> bytes:
-        known = self.older.get(s)
-        if known is None:
-            pieces = self.pattern.findall(s)
-            known = self.piece(s) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
-        self.keep(s, known)
-        return known
+        self.short = ShortPieces(ranks, merges) if merges is not None else None
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def pieces(self, s: bytes) -> list[bytes]:
+        """A word of ASCII letters, with a space before it or not, is one piece by each alternative of the pattern."""
+        if s.isalpha() or s[0] == 32 and s[1:].isalpha():
+            return [s]
+        return [x.encode() for x in self.pattern.findall(s.decode())]
+
+    def coded(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces not met yet."""
+        out, short, rank = {}, [], self.bpe.ranks.get
+        for s in pieces:
+            if (whole := rank(s)) is not None:
+                out[s] = struct.pack("i", whole)
+            elif self.short is not None and len(s) <= SHORT:
+                short.append(s)
+            else:
+                ids = self.bpe.encode_piece(s)
+                out[s] = struct.pack(f"{len(ids)}i", *ids)
+        for at in range(0, len(short), SIDE):
+            part = short[at : at + SIDE]
+            out.update(zip(part, self.short.encode(part)))
+        return out
+
+    def found(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of each of different segments; the memo then holds them and their pieces."""
+        memo, older = self.memo, self.older
+        out = list(map(memo.get, segments))
+        split, new = [], set()
+        for k, (s, known) in enumerate(zip(segments, out)):
+            if known is None:
+                out[k] = known = older.get(s)
+                if known is None:
+                    own = self.pieces(s)
+                    split.append((k, own))
+                    new.update([x for x in own if x not in memo and x not in older])
+                elif len(s) < 80:
+                    memo[s] = known
+        coded = self.coded(new)
+        get = lambda x: coded.get(x) or memo.get(x) or older[x]
+        for k, own in split:
+            out[k] = ids = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+            if len(segments[k]) < 80:
+                memo[segments[k]] = ids
+        memo.update((s, ids) for s, ids in coded.items() if len(s) < 80)
+        if len(memo) >= MEMO:
+            self.older, self.memo = memo, {}
+        return out
+
+    def ids_of(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text (strings without nulls)."""
+        segments, first = segments_of(texts)
+        different = segments.dictionary_encode()
+        found = self.found(different.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        ids = lists.take(different.indices)
+        return pa.ListArray.from_arrays(ids.offsets.take(pa.array(first)), ids.values)
 
     def ids(self, text: str) -> np.ndarray:
-        segments = SEGMENT.findall(text)
-        found = list(map(self.memo.get, segments))
-        if None in found:
-            found = [x or self.memo.get(s) or self.segment(s) for x, s in zip(found, segments)]
-        return np.frombuffer(b"".join(found), np.int32)
+        return self.ids_of(pa.array([text]))[0].values.to_numpy()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,20 +459,22 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
 def _mapped(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     small_batches(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    table = docs.sparkSession.sparkContext.broadcast((ranks, last_merges(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(ranks.value, pattern)
-        get = encoder.bpe.bytes_of.__getitem__
+        ranks, merges = table.value
+        encoder = TextEncoder(ranks, pattern, merges)
+        tokens = pa.array(encoder.bpe.bytes_of, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [encoder.ids(t) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                out = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]
-                if decoded:
-                    out.append(pa.array([b"".join(map(get, x.tolist())) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
+            ids = encoder.ids_of(batch.column(1))
+            out = [batch.column(0), ids]
+            if decoded:
+                # The tokens of all rows lie one after the other, so a row's bytes are a stretch of theirs.
+                every = tokens.take(ids.values)
+                offsets = np.frombuffer(every.buffers()[1], np.int32)[ids.offsets.to_numpy()]
+                out.append(pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), every.buffers()[2]]))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
 
     return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
