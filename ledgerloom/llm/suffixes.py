@@ -20,11 +20,13 @@ LENGTH, GRAM = 100, 32
 WIDTH = LENGTH - GRAM + 1
 #: Bytes on one side of a gram that every window holds at least: HALF of them, or one more on the other side.
 HALF = WIDTH // 2
-#: Bytes of texts that are hashed together, places that are compared at once, and bytes of a shard.
-BLOCK, CHUNK, SHARD_BYTES = 1 << 20, 1 << 16, 1 << 20
+#: Bytes of texts that are hashed together (their arrays stay in a core's cache), places that are compared at once, and bytes of a shard.
+BLOCK, CHUNK, SHARD_BYTES = 1 << 18, 1 << 16, 1 << 20
+#: Bytes of contexts that are cut out at once.
+MOST = 1 << 22
 #: A core with more different contexts than fill a shard is split by longer cores.
 HOT = SHARD_BYTES // (2 * LENGTH)
-#: Reduced texts of more letters are induced by plain scans, with the same result.
+#: Texts of more letters are sorted by doubling, with the same result.
 SCALAR_FROM = 1024
 
 
@@ -41,8 +43,6 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes, sorted from the leftmost-smaller ones in the given order within each first letter."""
-    if sigma > SCALAR_FROM:
-        return _induce_scalar(s, smaller, seeds, sigma)
     letters = s[seeds]
     order = np.argsort(letters, kind="stable")
     seeds, cuts = seeds[order], np.searchsorted(letters[order], np.arange(sigma + 1))
@@ -85,34 +85,34 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -
     return np.concatenate(out[::-1])
 
 
-def _induce_scalar(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
-    """The same by two plain scans, for reduced texts with very many letters."""
-    sizes = np.bincount(s, minlength=sigma)
-    ends = np.cumsum(sizes)
-    text, small, n = s.tolist(), smaller.tolist(), len(s)
-    sa, tail = [-1] * n, ends.tolist()
-    for i in reversed(seeds.tolist()):
-        tail[text[i]] -= 1
-        sa[tail[text[i]]] = i
-    head = (ends - sizes).tolist()
-    for r in range(n):
-        j = sa[r] - 1
-        if j >= 0 and not small[j]:
-            sa[head[text[j]]] = j
-            head[text[j]] += 1
-    tail = ends.tolist()
-    for r in range(n - 1, -1, -1):
-        j = sa[r] - 1
-        if j >= 0 and small[j]:
-            tail[text[j]] -= 1
-            sa[tail[text[j]]] = j
-    if n:
-        sa[0] = n - 1
-    return np.array(sa)
+def _doubled(s: np.ndarray) -> np.ndarray:
+    """Suffix array by doubling: what is still equal in ``size`` letters is told apart by the ranks ``size`` further on.
+
+    For reduced texts, whose letters are too many to be dealt into buckets one by one. A rank is the first row of its
+    equals, so rows that are alone keep theirs and take no part any more. Contexts are short, so rounds are few.
+    """
+    n = len(s)
+    sa = np.argsort(s)
+    key, live, rank, size = s[sa].astype(np.int64), np.arange(n), np.zeros(n, np.int64), 1
+    while True:
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.diff(np.append(starts, len(live)))
+        rank[sa[live]] = np.repeat(live[starts], counts)
+        live = live[np.repeat(counts > 1, counts)]
+        if not len(live):
+            return sa
+        # Suffixes that share their first letters do not reach the end, whose letter is nowhere else.
+        at = sa[live]
+        key = rank[at] * n + rank[at + size]
+        by = np.argsort(key)
+        sa[live], key = at[by], key[by]
+        size *= 2
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array by induced sorting of letters 0 to sigma - 1; the last one is 0 and occurs nowhere else."""
+    if sigma > SCALAR_FROM:
+        return _doubled(s)
     smaller = _types(s)
     left = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     if len(left) < 2:
@@ -195,30 +195,35 @@ def later_windows(contexts: list[bytes], order: np.ndarray) -> list[np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from every place on, by doubling."""
-    h = data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
-    size = 1
+    """A 64-bit hash of the GRAM bytes from every place on: a polynomial by doubling, then mixed."""
+    h = data.astype(np.uint64)
+    h += np.uint64(1)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    size, factor = 1, 0x94D049BB133111EB
     while size < GRAM:
-        h = h[:-size] * np.uint64(0x94D049BB133111EB) + h[size:]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        further = h[size:]
+        h = h[:-size] * np.uint64(factor)
+        h += further
+        factor = factor * factor % (1 << 64)
         size *= 2
+    for shift in (29, 32):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
     return h
 
 
 def window_minima(h: np.ndarray) -> np.ndarray:
-    """For each place the index of the least of the WIDTH values from it on, the rightmost on ties."""
-    value, index, size = h, np.arange(len(h), dtype=np.int32), 1
-
-    def join(step: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = value[:-step], value[step:]
-        return np.minimum(a, b), np.where(b <= a, index[step:], index[:-step])
-
+    """For each place the index of the least of the WIDTH values from it on, by their upper halves, the rightmost on ties."""
+    low = np.uint64(0xFFFFFFFF)
+    best, size = h & ~low, 1
+    best |= low - np.arange(len(h), dtype=np.uint64)
     while size * 2 <= WIDTH:
-        value, index = join(size)
+        best = np.minimum(best[:-size], best[size:])
         size *= 2
-    return join(WIDTH - size)[1] if size < WIDTH else index
+    if size < WIDTH:
+        best = np.minimum(best[: size - WIDTH], best[WIDTH - size :])
+    return (low - (best & low)).astype(np.int64)
 
 
 ANCHORS = "gram long, left int, right int, doc_id long, text_hash long, at int, n int, lead int"
@@ -372,15 +377,26 @@ def contexts(docs: DataFrame, places: DataFrame, whole: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = batch.column(2)[row].as_py().encode()
-                core, at, n, lead, n_contexts = (batch.column(3)[row].values.field(k) for k in range(5))
-                cut = [data[a : a + b + LENGTH - 1] for a, b in zip(at.to_pylist(), n.to_pylist())]
-                take = pa.array(np.full(len(cut), row, np.int64))
+            places = batch.column(3)
+            offsets = places.offsets.to_numpy()
+            core, at, n, lead, n_contexts = (places.values.field(k) for k in range(5))
+            starts, stops = at.to_numpy(), at.to_numpy() + n.to_numpy() + (LENGTH - 1)
+            reach = np.append(0, np.cumsum(stops - starts, dtype=np.int64))
+            row = 0
+            while row < batch.num_rows:
+                # Rows whose contexts are MOST bytes together, one row at least.
+                stop = max(row + 1, int(np.searchsorted(reach[offsets], reach[offsets[row]] + MOST, side="right")) - 1)
+                cut = []
+                for k in range(row, stop):
+                    data, own = batch.column(2)[k].as_py().encode(), slice(offsets[k], offsets[k + 1])
+                    cut += [data[a:b] for a, b in zip(starts[own].tolist(), stops[own].tolist())]
+                part = [x.slice(offsets[row], len(cut)) for x in (core, at, n, lead)]
+                take = pa.array(np.repeat(np.arange(row, stop), np.diff(offsets[row : stop + 1])))
                 size = pa.array(np.full(len(cut), GRAM, np.int32))
                 keys = pa.nulls(len(cut), pa.binary()) if whole else pa.array([xxh3_128_digest(c) for c in cut], pa.binary())
                 found = pa.array(cut, pa.binary()) if whole else pa.nulls(len(cut), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), core, at, n, lead, size, n_contexts, keys, found], [x.split()[0] for x in CONTEXTS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *part, size, n_contexts.slice(offsets[row], len(cut)), keys, found], [x.split()[0] for x in CONTEXTS.split(", ")])
+                row = stop
 
     return joined.mapInArrow(run, CONTEXTS)
 
