@@ -23,8 +23,8 @@ def _sides(spark, sf_dir, *block):
 @query(f"WITH {PAIRS} SELECT brand, l AS expected, r AS predicted, round(score, 6) AS score FROM p WHERE score >= 0.4")
 def threshold_join(spark, sf_dir):
     """Pairs of a brand whose words agree enough."""
-    pairs = M.threshold_pairs(*_sides(spark, sf_dir, "p_brand"), ["p_brand"], 0.4)
-    return pairs.select(F.col("p_brand").alias("brand"), F.col("left").alias("expected"), F.col("right").alias("predicted"), F.round("score", 6).alias("score"))
+    pairs = M.threshold_pairs(*_sides(spark, sf_dir, "p_brand"), ["p_brand"], 0.4, 6)
+    return pairs.select(F.col("p_brand").alias("brand"), F.col("left").alias("expected"), F.col("right").alias("predicted"), "score")
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, q AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, l, r) AS k FROM p WHERE score >= 0.4),

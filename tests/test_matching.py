@@ -36,6 +36,23 @@ def test_threshold_pairs_against_all_pairs(spark):
     assert matching.threshold_pairs(a.limit(0), b, ["b"], 0.5).count() == 0
 
 
+def test_pairs_of_copies_are_made_by_many_tasks(spark, monkeypatch):
+    """Many copies of few sets, one key many times, with small lists: each pair of copies as often as it occurs, rounded as its sets, by tasks that go by the rows."""
+    for name, size in (("CHUNK", 5), ("TASK_ROWS", 500)):
+        monkeypatch.setattr(matching, name, size, raising=False)
+    r = random.Random(6)
+    sets = [["a", "b", "c"], ["a", "b", "d"], ["b", "c", "a", "a"], ["x", "y"], ["a", "b", "c", "d", "e", "f", "g"]]
+    draw = lambda odd: [(r.choice("pq"), 2 * i + odd, r.choice(sets)) for i in range(90)] + [("p", 500 + odd, sets[0])] * 12 + [(None, 600 + odd, sets[0]), ("p", 700 + odd, []), ("q", 800 + odd, None)]
+    left, right = draw(1), draw(0)
+    want = [(b, i, j, len(set(s) & set(t)) / len(set(s) | set(t))) for b, i, s in left for c, j, t in right if b and b == c and s and t]
+    want = sorted(p for p in want if p[3] >= 0.4)
+    a, b = (spark.createDataFrame(rows, f"b string, {key} long, tokens array<string>") for rows, key in ((left, "left"), (right, "right")))
+    got = matching.threshold_pairs(a, b, ["b"], 0.4)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 2000
+    assert got.rdd.getNumPartitions() == -(-len(want) // 500)
+    assert sorted(map(tuple, matching.threshold_pairs(a, b, ["b"], 0.4, 2).collect())) == sorted((*p[:3], round(p[3], 2)) for p in want)
+
+
 def test_greedy_assignment(spark):
     r = random.Random(2)
     pairs = [(g, a, b, r.choice([0.5, 0.75, 1.0])) for g in ("x", "y", None) for a in range(12) for b in range(12) if r.random() < 0.7]
