@@ -221,6 +221,25 @@ def test_vector_top_k_against_all_pairs(spark, monkeypatch):
         assert sorted(map(repr, found.select(want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
+def test_similarity_labels_takes_every_vector_as_a_query(spark, tmp_path, monkeypatch):
+    """Ids of which few can be divided by 20, copies, ties, no length and a null; several blocks, parts and slices."""
+    for name, size in (("QUERY_CELL", 40), ("ITEM_CELL", 60), ("SLICE", 16)):
+        monkeypatch.setattr(retrieval, name, size, raising=False)
+    r = np.random.default_rng(8)
+    base = r.normal(size=(12, 8))
+    rows = [(3 * i + 1, [float(x) for x in base[r.integers(12)] + r.normal(size=8) * r.choice([0, 0.2, 0.4, 3])], 1) for i in range(120)]
+    rows += [(1000, [0.0] * 8, 1), (1001, None, 2), (-7, rows[0][1], 3)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(path)
+    got = registry.QUERIES["similarity_labels"](spark, str(tmp_path)).toPandas()
+    assert set(got["query"]) == {i for i, _, _ in rows} and (got.groupby("query").size() == 5).all()
+    assert {"duplicate", "overlap", "related"} <= set(got["label"].dropna()) and got["label"].isna().any()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    assert canonical(got) == canonical(con.execute(registry.ORACLE_SQL["similarity_labels"]).df())
+    assert "% 20" not in registry.ORACLE_SQL["similarity_labels"] and "vec_id % 20 = 0" in registry.ORACLE_SQL["vector_top_k"]
+
+
 def test_weighted_hybrid_rounds_halves_as_its_sql(spark, tmp_path):
     x = spark.createDataFrame([(20, [1.0, 0.0], 1), (21, [0.40743, (1 - 0.40743**2) ** 0.5], 2), (22, [0.1, 0.2], 1)], "vec_id long, embedding array<double>, label int")
     x.toPandas().to_parquet(tmp_path / "embeddings.parquet")
